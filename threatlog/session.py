@@ -32,12 +32,18 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/threatlog-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, *partition_by: str) -> DataFrame:
+def staged(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
     """The frame written once as a table in the scratch folder, and read from there.
 
     For results that several later steps read: they are not computed again, and losing an
-    executor loses nothing.
+    executor loses nothing.  With ``path`` the table there is replaced.
     """
-    path = scratch_folder(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    path = path or scratch_folder(df.sparkSession)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

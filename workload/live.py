@@ -1,2 +1,93 @@
+"""The streaming operators, fed with the access log in several files.
+
+Each query writes its input and output below the session's scratch folder, runs until the
+input is used up, and returns what came out.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+import threatlog as tl
+from threatlog.session import scratch_folder
+from threatlog.streaming import live_counts, start_alerts, stream_alert_steps
+
+from .logs import AS_OF, YEAR, lines
+
+
+def _log(spark, sf_dir):
+    tl.tune(spark)
+    return lines(spark, sf_dir, "access").select("line", "source", "seq")
+
+
+def _stream(spark, sf_dir):
+    """The access log as a stream of files."""
+    folder = scratch_folder(spark)
+    log = _log(spark, sf_dir)
+    log.write.parquet(folder)
+    return spark.readStream.schema(log.schema).parquet(folder)
+
+
+def _entries(spark, sf_dir):
+    return tl.parse_logs(_stream(spark, sf_dir), as_of=AS_OF, default_year=YEAR)
+
+
+def _run(spark, df, mode="append"):
+    """Run a stream until its input ends, and read its Parquet output."""
+    out, checkpoint = scratch_folder(spark), scratch_folder(spark)
+    query = (
+        df.writeStream.outputMode(mode).format("parquet").option("path", out)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def stream_rule_hits(spark, sf_dir):
+    return _run(spark, tl.rule_hits(_entries(spark, sf_dir))).select("seq", "rule_id")
+
+
+def stream_alert_step_rows(spark, sf_dir):
+    steps = _run(spark, stream_alert_steps(_entries(spark, sf_dir)))
+    return steps.select(
+        "rule_id", "ip", "alert_step", "count", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
+    )
+
+
+def stream_live_counts(spark, sf_dir):
+    out = scratch_folder(spark)
+
+    def save(batch, epoch):
+        batch.write.mode("overwrite").parquet(out)
+
+    query = (
+        live_counts(_entries(spark, sf_dir)).writeStream.outputMode("complete").foreachBatch(save)
+        .option("checkpointLocation", scratch_folder(spark)).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _live_job(spark, sf_dir):
+    """The live job in two runs: the second starts from the checkpoint when the rest of the log is there."""
+    folder, out, checkpoint = (scratch_folder(spark) for _ in range(3))
+    log = _log(spark, sf_dir)
+    half = log.count() // 2
+    for arrived in (F.col("seq") < half, F.col("seq") >= half):
+        log.where(arrived).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(log.schema).parquet(folder)
+        start_alerts(stream, as_of=AS_OF, default_year=YEAR, out=out, checkpoint=checkpoint).awaitTermination()
+    return out
+
+
+def stream_context_lines(spark, sf_dir):
+    return spark.read.text(f"{_live_job(spark, sf_dir)}/context").select(F.col("value").alias("line"))
+
+
 def queries():
-    return {}
+    return {
+        "stream_rule_hits": stream_rule_hits,
+        "stream_alert_steps": stream_alert_step_rows,
+        "stream_live_counts": stream_live_counts,
+        "stream_context_lines": stream_context_lines,
+    }

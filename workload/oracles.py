@@ -389,5 +389,5 @@ def oracle_sql() -> dict[str, str]:
             """SELECT 'ip' AS kind, ip AS name, count(*) AS n FROM ent GROUP BY ip UNION ALL SELECT 'path', path, count(*) FROM ent GROUP BY path
             UNION ALL SELECT 'status', CAST(status AS VARCHAR), count(*) FROM ent GROUP BY status UNION ALL SELECT 'minute', minute, n FROM minutes""",
         ),
-        "stream_context_lines": _with(_CONTEXT, "SELECT line_no, line FROM near WHERE keep = 1"),
+        "stream_context_lines": _with(_CONTEXT, "SELECT line FROM near WHERE keep = 1"),
     }
