@@ -17,7 +17,7 @@ def line(second, ip, status=401, path="/login"):
 
 def burst_lines():
     rng = random.Random(5)
-    texts = [line(rng.randrange(900), f"10.0.0.{rng.randrange(4)}", rng.choice((401, 404, 404, 200))) for _ in range(260)]
+    texts = [line(rng.randrange(600), f"10.0.0.{rng.randrange(2)}", rng.choice((401, 404, 404, 200))) for _ in range(420)]
     return sorted(texts, key=lambda t: t.split("[")[1])
 
 
@@ -92,7 +92,7 @@ def test_live_job_equals_batch(spark, log, tmp_path):
     kept = sorted(r["line"] for r in near.collect())
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out/context")).collect()) == kept
     assert spark.read.text(str(tmp_path / "out/alert_log")).count() == len(expected)
-    assert {rule for _, rule in told} == {"R008", "R009", "R012"} and {epoch for epoch, _ in told} == {0, 2}
+    assert {rule for _, rule in told} == {"R008", "R009", "R012"} and {0, 2} <= {epoch for epoch, _ in told}
 
 
 def test_live_counts(spark, tmp_path):
