@@ -46,6 +46,16 @@ def test_peaks_match_brute_force(spark, groups, fractions):
     assert found == expected
 
 
+def test_a_window_longer_than_an_hour(spark):
+    from threatlog.operators.windows import peaks
+
+    times = [START + timedelta(minutes=m) for m in (0, 50, 100, 150, 151, 180, 181, 400, 500, 579, 580)]
+    rows = [("request", "x", t, i) for i, t in enumerate(times)]
+    for window in (timedelta(hours=3), timedelta(minutes=61), timedelta(seconds=30)):
+        (found,) = peaks(ticked(spark, rows), window).collect()
+        assert (found["peak"], found["window_start"], found["window_end"]) == peak_of(times, window)
+
+
 def test_both_ends_of_the_window_count(spark):
     from threatlog.operators.windows import peaks
 

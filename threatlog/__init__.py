@@ -37,5 +37,5 @@ from .operators.windows import (
 from .plans.analysis import Analysis
 from .plans.report import report_lines, save_report, stat_tiles, summary_report
 from .session import tune
-from .sources.lines import from_lines, from_text, read_logs, stream_logs
+from .sources.lines import from_lines, from_text, read_logs, spread, stream_logs
 from .sources.sinks import write_alert_log, write_json, write_lines

@@ -27,8 +27,14 @@ _KNOWN = ("json", "access", "ssh", "syslog", "generic")
 
 
 def first_lines(lines: DataFrame, sample_lines: int | None = LAYOUT_SAMPLE_LINES) -> DataFrame:
-    """The first lines by ``seq``, or all of them."""
-    return lines if sample_lines is None else lines.orderBy("seq").limit(sample_lines)
+    """The first lines by ``seq``, or all of them.
+
+    Lines read from files are numbered as they are read, so their first ones are at hand; other
+    lines are searched for theirs.
+    """
+    if sample_lines is None:
+        return lines
+    return (lines if "block" in lines.columns else lines.orderBy("seq")).limit(sample_lines)
 
 
 def _filled_lines(lines):

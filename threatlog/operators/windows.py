@@ -5,9 +5,9 @@ an address that sends a third of all lines arrives as at most one row per distin
 
 The sliding count is then a running sum over two kinds of marks, an arrival at ``t`` and a
 departure just after ``t + window``.  That costs two rows per time whatever the number of
-times inside a window.  Marks are grouped by ``(counter, ip, hour)`` and times near the end
-of an hour are repeated in the hours their window reaches into, so a busy address is cut into
-hours and each hour is exact by itself.
+times inside a window.  Marks are grouped by ``(counter, ip, slot)``, a slot being an hour or
+more, and times near the end of a slot are repeated in the next one when their window reaches
+into it.  So a busy address is cut into slots and each slot is exact by itself.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import BURST_RULE_TEXTS, SEVERITY, WINDOW_MINUTES
 from ..functions.text import fill
 from ..functions.times import hour_number
+from ..session import scratch_folder, staged
 from .rules import counter_flags
 
 WINDOW = timedelta(minutes=WINDOW_MINUTES)
@@ -71,11 +72,17 @@ def ticks(entries: DataFrame, counters: dict[str, Column] | None = None) -> Data
 def sliding_counts(ticked: DataFrame, window: timedelta = WINDOW) -> DataFrame:
     """For every tick the count in the window that ends with it, both ends included.
 
-    ``counter, ip, slot, ts, n, first_seq, in_window, window_start``; ``slot`` is the hour.
+    ``counter, ip, slot, ts, n, first_seq, in_window, window_start``.  A slot is as many hours
+    as the window needs to reach at most one slot further.
     """
     span = F.lit(window)
-    home = hour_number(F.col("ts"))
-    slots = F.sequence(home, hour_number(F.col("ts") + span))
+    hours = max(1, -(-window // timedelta(hours=1)))
+
+    def slot_of(ts):
+        return F.floor(hour_number(ts) / hours)
+
+    home = slot_of(F.col("ts"))
+    slots = F.sequence(home, slot_of(F.col("ts") + span))
     group = ("counter", "ip", "slot")
     spread = (
         ticked.withColumn("_home", home)
@@ -160,7 +167,7 @@ def alert_steps(ticked: DataFrame, thresholds=None) -> DataFrame:
         .where(F.col("_high") > F.col("_low"))
         .withColumn("alert_step", F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))))
     )
-    # Every hour proposes its own first time per step; the earliest one is the real one.
+    # Every slot proposes its own first time per step; the earliest one is the real one.
     first = entered.groupBy("rule_no", "counter", "step", "ip", "alert_step").agg(
         F.min("ts").alias("ts"),
         F.min_by("window_start", "ts").alias("window_start"),
@@ -173,12 +180,22 @@ def alert_steps(ticked: DataFrame, thresholds=None) -> DataFrame:
     )
 
 
-def alert_rows(entries: DataFrame, steps: DataFrame, counters: dict[str, Column] | None = None) -> DataFrame:
-    """The entry that set off each alert step: the steps with that row's ``seq`` and ``source``."""
+def alert_rows(
+    entries: DataFrame, steps: DataFrame, counters: dict[str, Column] | None = None, folder: str | None = None
+) -> DataFrame:
+    """The entry that set off each alert step: the steps with that row's ``seq`` and ``source``.
+
+    The steps and the few rows at their times are kept in ``folder`` or the scratch folder, so
+    the log is read twice in all: once for the steps and once for the rows.
+    """
+    folder = folder or scratch_folder(entries.sparkSession)
     moment = ["counter", "ip", "ts"]
-    rows = (
-        entries.select("seq", "source", "ip", "ts", F.explode(_counter_names(counters)).alias("counter"))
-        .join(steps.select(*moment).distinct(), moment, "left_semi")
+    steps = staged(steps, path=f"{folder}/steps")
+    rows = staged(
+        entries.select("seq", "source", "ip", "ts", F.explode_outer(_counter_names(counters)).alias("counter"))
+        .where(F.col("counter").isNotNull())
+        .join(steps.select(*moment).distinct(), moment, "left_semi"),
+        path=f"{folder}/rows",
     )
     return steps.join(numbered_within(rows, moment, "nth"), [*moment, "nth"])
 

@@ -137,11 +137,10 @@ class _LiveJob:
         )
         # A time may have begun in an earlier batch; its rows there come first.
         here = before.select("counter", "ip", "ts", F.col("n").alias("_earlier"))
-        new = self._staged(
+        new = (
             new.join(here, ["counter", "ip", "ts"], "left")
             .withColumn("nth", F.greatest(F.col("nth") - F.coalesce("_earlier", F.lit(0)), F.lit(1)))
-            .drop("_earlier", "peak"),
-            "steps",
+            .drop("_earlier", "peak")
         )
 
         least = {r.counter: min(x.threshold for x in self.thresholds if x.counter == r.counter) for r in self.thresholds}
@@ -154,7 +153,7 @@ class _LiveJob:
         newest = recent.agg(F.max("ts")).first()[0]
         kept = recent if newest is None else recent.where(F.col("ts") >= newest - self.delay - max(windows))
         self._carry(kept, "ticks", epoch)
-        return alert_rows(entries, new).withColumns(
+        return alert_rows(entries, new, folder=f"{self.state}/work/alerting").withColumns(
             {"user": F.lit(None).cast("string"), "line_no": F.col("seq")}
         )
 

@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatlog import spread
+
 AS_OF = datetime(2024, 6, 1)
 YEAR = 2024
 
@@ -85,9 +87,10 @@ def lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """The log as lines: ``line, source, seq, line_no``."""
     expression = _KINDS[kind].format(**_parts("spark")).replace("AS VARCHAR(10)", "AS STRING")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select(
+    log = events.select(
         F.expr(expression).alias("line"),
         F.lit(kind).alias("source"),
         F.col("event_id").alias("seq"),
         F.col("event_id").alias("line_no"),
     )
+    return spread(log)

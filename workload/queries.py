@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import threatlog as tl
-from threatlog.session import staged
-
 from . import live
 from .logs import AS_OF, YEAR, lines
 
@@ -150,7 +148,7 @@ def throttled_alert_steps(spark, sf_dir):
 
 def _triggers(spark, sf_dir):
     entries = _entries(spark, sf_dir)
-    return tl.alert_rows(entries, staged(tl.alert_steps(tl.ticks(entries))))
+    return tl.alert_rows(entries, tl.alert_steps(tl.ticks(entries)))
 
 
 def alert_trigger_rows(spark, sf_dir):
