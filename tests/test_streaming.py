@@ -95,6 +95,24 @@ def test_live_job_equals_batch(spark, log, tmp_path):
     assert {rule for _, rule in told} == {"R008", "R009", "R012"} and {0, 2} <= {epoch for epoch, _ in told}
 
 
+def test_live_job_with_late_lines_raises_the_same_alerts(spark, log, tmp_path):
+    texts = burst_lines()
+    rows = list(enumerate(texts, start=1))
+    random.Random(2).shuffle(rows)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(2):
+        write_file(folder, f"{n}.txt", [(i, text) for i, (_, text) in enumerate(rows[n::2])], 1_700_000_000 + n)
+    start_alerts(
+        stream_of(spark, folder), as_of=START, out=str(tmp_path / "out"), checkpoint=str(tmp_path / "c"),
+        delay=timedelta(minutes=30),
+    ).awaitTermination()
+    steps = tl.alert_steps(tl.ticks(tl.parse_logs(log(texts), as_of=START)))
+    expected = sorted((r["rule_id"], r["ip"], r["count"]) for r in steps.collect())
+    found = spark.read.parquet(str(tmp_path / "out/alerts")).where("rule_id in ('R008', 'R009', 'R010')").collect()
+    assert sorted((r["rule_id"], r["ip"], r["count"]) for r in found) == expected
+
+
 def test_live_counts(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

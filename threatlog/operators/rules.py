@@ -168,16 +168,16 @@ def default_rules() -> RuleSet:
         "R002": (
             search(
                 everything, CROSS_SITE_SCRIPT,
-                "<script", "javascript:", "onerror=", "onload=", "eval(", "alert(", "document.cookie",
+                "script", "onerror=", "onload=", "eval(", "alert(", "document.cookie",
             ),
             cut(everything),
         ),
-        "R003": (search(request, PATH_TRAVERSAL, "..", "%2e%2e", "%252e"), cut(request)),
-        "R004": (search(request, SENSITIVE_PATH, "/admin", "/phpmyadmin", "/actuator"), path_or_line),
+        "R003": (search(request, PATH_TRAVERSAL, "..", "%2"), cut(request)),
+        "R004": (search(request, SENSITIVE_PATH, "admin", "/actuator"), path_or_line),
         "R005": (
             search(
                 raw, SCANNER,
-                "nikto", "sqlmap", "nmap", "masscan", "zgrab", "nuclei", "dirbuster", "gobuster",
+                "nikto", "map", "masscan", "zgrab", "nuclei", "buster",
             ),
             cut(raw),
         ),
@@ -186,7 +186,7 @@ def default_rules() -> RuleSet:
         "R011": (
             search(
                 everything, FILE_INCLUSION,
-                "=http", "=ftp:", "/etc/passwd", "/etc/hosts", "/win.ini", "boot.ini",
+                "=http", "=ftp:", "/etc/", ".ini",
             ),
             cut(everything),
         ),
@@ -195,8 +195,7 @@ def default_rules() -> RuleSet:
         "R014": (
             search(
                 request, CONFIG_FILE,
-                ".env", ".git/config", "wp-config.php", "database.yml", "config.json", "settings.py",
-                ".bak", ".sql",
+                ".env", "config", "database.yml", "settings.py", ".bak", ".sql",
             ),
             path_or_line,
         ),

@@ -185,6 +185,8 @@ def alert_rows(
 ) -> DataFrame:
     """The entry that set off each alert step: the steps with that row's ``seq`` and ``source``.
 
+    Both are NULL if the row is not among the entries.
+
     The steps and the few rows at their times are kept in ``folder`` or the scratch folder, so
     the log is read twice in all: once for the steps and once for the rows.
     """
@@ -197,7 +199,7 @@ def alert_rows(
         .join(steps.select(*moment).distinct(), moment, "left_semi"),
         path=f"{folder}/rows",
     )
-    return steps.join(numbered_within(rows, moment, "nth"), [*moment, "nth"])
+    return steps.join(numbered_within(rows, moment, "nth"), [*moment, "nth"], "left")
 
 
 def numbered_within(df: DataFrame, keys, name: str, order: str = "seq", width: int = 1_000_000) -> DataFrame:

@@ -40,14 +40,14 @@ def from_text(spark: SparkSession, text: str, source: str = "upload") -> DataFra
     return from_lines(df, "line", source, "line_no")
 
 
-def spread(lines: DataFrame) -> DataFrame:
-    """Batch lines dealt out to all cores, if they come in fewer pieces than there are cores.
+def spread(lines: DataFrame, by: str = "seq") -> DataFrame:
+    """Batch rows dealt out to all cores, if they come in fewer pieces than there are cores.
 
     One small or compressed file is read by one task, and parsing costs far more than moving
     the lines.  Input in many pieces is left as it is.
     """
     cores = lines.sparkSession.sparkContext.defaultParallelism
-    return lines.repartition(cores, "seq") if lines.rdd.getNumPartitions() < cores else lines
+    return lines.repartition(cores, by) if lines.rdd.getNumPartitions() < cores else lines
 
 
 def stream_logs(spark: SparkSession, folder: str, **options) -> DataFrame:

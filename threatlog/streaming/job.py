@@ -159,7 +159,8 @@ class _LiveJob:
 
     def _context(self, numbered, tail, alerts, epoch):
         near = tail.unionByName(numbered.withColumn("written", F.lit(False)))
-        wanted = context_lines(near, alerts.select("source", "line_no"), CONTEXT_LINES)
+        placed = alerts.where(F.col("line_no").isNotNull())
+        wanted = context_lines(near, placed.select("source", "line_no"), CONTEXT_LINES)
         wanted = self._staged(wanted.where(~F.col("written")), "context")
         wanted.orderBy("source", "line_no").select("line").write.mode("overwrite").text(
             f"{self.out}/context/epoch={epoch}"

@@ -86,11 +86,10 @@ def duck_lines(kind: str) -> str:
 def lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """The log as lines: ``line, source, seq, line_no``."""
     expression = _KINDS[kind].format(**_parts("spark")).replace("AS VARCHAR(10)", "AS STRING")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    log = events.select(
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    return spread(events, "event_id").select(
         F.expr(expression).alias("line"),
         F.lit(kind).alias("source"),
         F.col("event_id").alias("seq"),
         F.col("event_id").alias("line_no"),
     )
-    return spread(log)
