@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import threatlog as tl
 
@@ -150,3 +150,20 @@ def test_line_numbers_across_file_blocks(spark, tmp_path):
     assert [r["line_no"] for r in rows if r["source"].endswith("b.log")] == [1]
     by_seq = [r["line"] for r in sorted(first, key=lambda r: r["seq"])]
     assert by_seq[:-1] == texts
+
+
+def test_wall_clock_micros_do_not_depend_on_the_zone(spark):
+    from pyspark.sql import functions as F
+
+    from threatlog.functions.times import wall_clock, wall_micros
+
+    times = [datetime(2026, 5, 20, 17, 1, 2, 345678), datetime(1969, 12, 31, 23, 59, 59, 999999), datetime(2026, 3, 29, 2, 30)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = df.select("ts", wall_micros(F.col("ts")).alias("m")).withColumn("back", wall_clock(F.col("m"))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for row in rows:
+        assert row["back"] == row["ts"]
+        assert row["m"] == (row["ts"] - datetime(1970, 1, 1)) // timedelta(microseconds=1)

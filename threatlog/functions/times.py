@@ -110,3 +110,18 @@ def hour_number(ts: Column) -> Column:
     """Hours since 1970 of a wall-clock time, without going through a time zone."""
     days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
     return days * 24 + F.hour(ts)
+
+
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a wall-clock time, without going through a time zone."""
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = F.extract(F.lit("SECOND"), ts) * 1000000
+    return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60000000 + seconds.cast("bigint")
+
+
+def wall_clock(micros: Column) -> Column:
+    """The reverse of :func:`wall_micros`."""
+    days = F.floor(micros / 86400000000)
+    seconds = ((micros - days * 86400000000) / 1000000).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), seconds)

@@ -51,13 +51,16 @@ def spread(lines: DataFrame, by: str = "seq") -> DataFrame:
 
 
 def stream_logs(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Text files that appear in a folder, as a stream of lines."""
+    """Text files that appear in a folder, as a stream of lines.
+
+    A stream cannot number its rows, so ``seq`` is NULL; the live job numbers them per batch.
+    """
     return (
         spark.readStream.options(**options)
         .text(folder)
         .select(
             F.col("value").alias("line"),
             F.col("_metadata.file_path").alias("source"),
-            F.monotonically_increasing_id().alias("seq"),
+            F.lit(None).cast("bigint").alias("seq"),
         )
     )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.times import wall_clock, wall_micros
 from ..operators.windows import _counter_names, _with_texts, default_thresholds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,14 +30,12 @@ def stream_alert_steps(entries: DataFrame, thresholds=None, delay: str = "10 min
     the first time whose window reaches the step in the rows known by then.
     """
     spark = entries.sparkSession
-    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
-        raise ValueError("wall-clock times serve as event times, so the session time zone has to be UTC")
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     thresholds = tuple(thresholds or default_thresholds())
     counted = (
         entries.select("ip", "ts", F.explode(_counter_names(counters)).alias("counter"))
-        .select("counter", "ip", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(1).cast("bigint").alias("n"))
+        .select("counter", "ip", wall_micros(F.col("ts")).alias("at"), F.lit(1).cast("bigint").alias("n"))
         .mapInArrow(_add_up, "counter string, ip string, at bigint, n bigint")
         .withColumn("event_time", F.timestamp_micros("at"))
         .withWatermark("event_time", delay)
@@ -46,8 +45,8 @@ def stream_alert_steps(entries: DataFrame, thresholds=None, delay: str = "10 min
     )
     timed = alerts.withColumns(
         {
-            "ts": F.timestamp_micros("at_micros").cast("timestamp_ntz"),
-            "window_start": F.timestamp_micros("start_micros").cast("timestamp_ntz"),
+            "ts": wall_clock(F.col("at_micros")),
+            "window_start": wall_clock(F.col("start_micros")),
         }
     )
     return _with_texts(timed, thresholds).select(

@@ -52,8 +52,8 @@ def start_alerts(
 
     Below ``out`` it writes ``alerts`` (Parquet), ``alert_log`` and ``context`` (text), one
     ``epoch=N`` folder per micro-batch.  ``on_alert(frame, epoch)`` gets the HIGH and CRITICAL
-    alerts of a batch; how they are sent is the caller's business.  The lines of a source have to
-    arrive in order of ``seq`` within a batch.
+    alerts of a batch; how they are sent is the caller's business.  Within a batch the lines of a
+    source are in order of ``seq``, or as read where it is NULL.
     """
     job = _LiveJob(as_of, out, checkpoint, rules, thresholds, delay, on_alert, parse_options)
     return (
@@ -101,8 +101,9 @@ class _LiveJob:
     def _number(self, batch, tail):
         """Lines numbered on from where their source was."""
         last = tail.groupBy("source").agg(F.max("line_no").alias("_last"))
+        seq = F.coalesce("seq", F.monotonically_increasing_id()).alias("seq")
         return (
-            numbered_within(batch.select("line", "source", "seq"), ["source"], "_n")
+            numbered_within(batch.select("line", "source", seq), ["source"], "_n")
             .join(last, "source", "left")
             .withColumn("line_no", F.col("_n") + F.coalesce("_last", F.lit(0)))
             .select("source", "line_no", "line")
