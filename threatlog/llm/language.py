@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import kept_in_worker
+from .texts import with_text_columns
 
 #: N-grams of a profile, and their longest length.
 PROFILE, LONGEST = 300, 3
@@ -108,20 +109,19 @@ def learn_profiles(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="
     return top.select("lang", F.posexplode("best").alias("rank", "of")).select("lang", "rank", F.col("of.gram").alias("gram"))
 
 
-def predict_languages(docs: DataFrame, profiles: DataFrame, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
-    """One row per document: id, ``lang_pred``, ``score``, and the columns of ``keep``.
+def predict_languages(docs: DataFrame, profiles: DataFrame, text_col="text", keep=("doc_id",)) -> DataFrame:
+    """One row per document: the columns of ``keep``, then ``lang_pred``, ``score``.
 
     ``score`` is one less the out-of-place distance as a share of the largest possible.  A text that is
     null or has no letter is ``und`` with score 0, and so is every text if no profile is given.  Equal
-    distances go to the language first in the alphabet.  Only the text is looked at.
+    distances go to the language first in the alphabet.  Only the text is looked at.  Where ``keep`` has
+    one of the two names, the new column's has an underscore before it.
     """
     rows = profiles.collect()
     langs = sorted({r["lang"] for r in rows})
-    kind = docs.schema[id_col].dataType.simpleString()
-    kept = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in keep)
     known = docs.sparkSession.sparkContext.broadcast([(langs.index(r["lang"]), r["rank"], r["gram"]) for r in rows])
 
-    def predict(batches):
+    def predictor():
         import numpy as np
         import pyarrow as pa
 
@@ -130,10 +130,11 @@ def predict_languages(docs: DataFrame, profiles: DataFrame, id_col="doc_id", tex
         # Rank of each known n-gram in each language; the last row is for unknown ones.
         ranks = np.full((len(grams) + 1, max(1, len(langs))), -1, np.int64)
         ranks[at, place] = rank
-        for batch in batches:
+
+        def predict(texts):
             names, scores = [], []
-            for scalar in batch.column(1):
-                own = profile_of(scalar.as_py() or "") if langs else None
+            for text in texts:
+                own = profile_of(text.as_py() or "") if langs else None
                 if own is None:
                     names.append(UNKNOWN)
                     scores.append(0.0)
@@ -146,10 +147,8 @@ def predict_languages(docs: DataFrame, profiles: DataFrame, id_col="doc_id", tex
                 best = int(away.argmin())
                 names.append(langs[best])
                 scores.append(max(0.0, 1 - float(away[best]) / (PROFILE * len(own))))
-            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            columns += [batch.column(2 + i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", *keep])
+            return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+
+        return predict
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
-    out = rows.mapInArrow(predict, f"id {kind}, lang_pred string, score double{kept}")
-    return out.withColumnRenamed("id", id_col)
+    return with_text_columns(docs, predictor, {"lang_pred": "string", "score": "double"}, text_col, keep)

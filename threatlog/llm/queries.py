@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_folder
 from .bpe import bpe_digests
+from .embeddings import near_vectors
 from .language import learn_profiles, predict_languages
+from .neardup import near_duplicates
 from .packing import pack
+from .pii import span_digests
+from .sql import ORACLES
 from .token_counts import count_tokens
+from .topk import top_k
 from .toxicity import toxicity
 from .warc import archived_pages
 
@@ -21,6 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    # Where the held-out condition is null (a null id), the row is not learned from.
     profiles = learn_profiles(docs.where(~out))
     found = predict_languages(docs, profiles)
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
@@ -30,6 +36,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +52,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"), scratch_folder(spark))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -46,9 +64,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op5_bpe, op6_warc, op8_token_counts, op9_packing)}
+    found = (
+        op1_language, op2_toxicity, op3_minhash, op4_topk, op5_bpe, op6_warc, op7_pii, op8_token_counts, op9_packing,
+        op10_near_vectors,
+    )
+    return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

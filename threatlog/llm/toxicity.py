@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .bytelevel import BoundedCache
+from .texts import with_text_columns
 
 #: Labelled documents, expected number, on which the chain is fitted; chosen by a hash of id and text.
 TRAINING = 12_000
@@ -26,7 +27,7 @@ FEATURES, FEWEST = 1000, 8
 FOLDS = 3
 CACHED = 600_000
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_WORDS, _WORD = re.compile(r"[^\W\d_]+").findall, re.compile(r"[^\W\d_]").search
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -167,50 +168,61 @@ def learn_chain(docs: DataFrame, labels: DataFrame, categories: tuple, id_col="d
     return {"features": numbers, "weights": [r["weights"] for r in sorted(fitted)]}
 
 
-def predict_chain(docs: DataFrame, chain: dict, names: tuple, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
-    """One row per document: id, one probability column per name of ``names``, and the columns of ``keep``.
+def predict_chain(docs: DataFrame, chain: dict, names: tuple, text_col="text", keep=("doc_id",)) -> DataFrame:
+    """One row per document: the columns of ``keep``, then one probability column per name of ``names``.
 
-    A text that is null or without words has no feature: its probabilities are those of the bias alone.
+    A text that is null or without words has probability 0 of everything.
+    Where ``keep`` has one of the names, the new column's has an underscore before it.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    kept = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in keep)
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def predict(batches):
+    def predictor():
         import numpy as np
         import pyarrow as pa
 
         numbers, weights = model.value["features"], [np.array(w) for w in model.value["weights"]]
         known = lambda word: tuple(numbers[f] for f in word_features(word) if f in numbers)
         of_word = BoundedCache(known, CACHED).__getitem__
-        for batch in batches:
+
+        def predict(texts):
             out = [[] for _ in names]
-            for scalar in batch.column(1):
-                held = list(text_features(scalar.as_py() or "", of_word))
-                before = []
+            for text in texts:
+                text, before = text.as_py() or "", []
+                if not _WORD(text):
+                    for probabilities in out:
+                        probabilities.append(0.0)
+                    continue
+                held = list(text_features(text, of_word))
                 for category, w in enumerate(weights):
                     z = w[held].sum() + w[-1] + sum(p * v for p, v in zip(before, w[len(numbers) :]))
                     before.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
                     out[category].append(before[-1])
-            columns = [batch.column(0), *[pa.array(x, pa.float64()) for x in out]]
-            columns += [batch.column(2 + i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", *names, *keep])
+            return [pa.array(x, pa.float64()) for x in out]
 
-    probabilities = "".join(f", {name} double" for name in names)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
-    out = rows.mapInArrow(predict, f"id {kind}{probabilities}{kept}")
-    return out.withColumnRenamed("id", id_col)
+        return predict
 
+    return with_text_columns(docs, predictor, {name: "double" for name in names}, text_col, keep)
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", keep=(), threshold=0.3) -> DataFrame:
-    """One row per document: id, ``p_low_quality``, ``p_toxic``, ``toxic`` (boolean), and the columns of ``keep``.
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold=0.3) -> DataFrame:
+    """One row per document: id, ``p_low_quality``, ``p_toxic``, ``toxic`` (boolean).
 
     The chain is low quality, then toxic, learned from ``labels`` (quality 0/1, toxic 0/1).  Without
     labels nothing is toxic.  Held-out clean documents stay far below the threshold (see the README).
     """
+    chain = learn_toxicity(docs, labels, id_col, text_col)
+    scored = predict_chain(docs, chain, ("p_low_quality", "p_toxic"), text_col, (id_col,))
+    return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold=0.3) -> DataFrame:
+    """``docs`` without the rows that :func:`toxicity` calls toxic."""
+    chain = learn_toxicity(docs, labels, id_col, text_col)
+    scored = predict_chain(docs, chain, ("p_low_quality", "p_toxic"), text_col, docs.columns)
+    return scored.where(F.col(scored.columns[-1]) < threshold).select(*docs.columns)
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> dict:
+    """The chain low quality, toxic."""
     marks = labels.select(id_col, (F.col("quality") == 0).alias("low"), (F.col("toxic") == 1).alias("toxic"))
-    chain = learn_chain(docs, marks, ("low", "toxic"), id_col, text_col)
-    scored = predict_chain(docs, chain, ("p_low_quality", "p_toxic"), id_col, text_col, keep)
-    return scored.select(
-        id_col, "p_low_quality", "p_toxic", (F.col("p_toxic") >= threshold).alias("toxic"), *keep
-    )
+    return learn_chain(docs, marks, ("low", "toxic"), id_col, text_col)
