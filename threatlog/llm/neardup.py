@@ -13,9 +13,11 @@ One hash function gives each shingle a value; a document's sketch is its k small
 4. The full sets of the remaining pairs verify them exactly.
 
 A list is not expanded to its pairs.  First each member is compared with three members of its lists that
-all lists rank alike (hubs); what that links is one component.  Then only members of lists with several
-components are compared, in tiles, the smaller components against the others; so a large group of copies
-costs its size, and nothing is capped.
+all lists rank alike (hubs): the most central one, whose values others retain most, which is the original
+where copies have been changed each in its own way, and two more; what that links is one component.  Then
+only members of lists with several components are compared, in tiles, the smaller components against the
+others, each pair in the list of its rarest common value alone.  So a large group of copies costs its
+size, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -133,7 +135,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col="doc_id", text
 
 
 def _prefixes(classes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``rep``, ``value`` of the rarest retained values of each class, of those that another class retains too."""
+    """``rep``, ``prefix``, ``weight``: the rarest retained values (n, value) of each class, in order of rarity, of
+    those that another class retains too; and how often all of its values are retained."""
     c = least_overlap(k, similarity)
     size = F.size("sketch")
     # With a whole set in the sketch, and that of any partner, the overlap is certain; else it is c at least.
@@ -146,7 +149,14 @@ def _prefixes(classes: DataFrame, k: int, similarity: float) -> DataFrame:
     rows = rows.join(first.select("rep", "first", "size"), "rep")
     # Values that no other class retains come first in order of rarity.
     take = F.col("first") - (F.col("size") - F.size("known"))
-    return rows.where(take > 0).select("rep", F.explode(F.slice("known", F.lit(1), take)).alias("of")).select("rep", "of.value")
+    weight = F.aggregate("known", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+    return rows.where(take > 0).select("rep", F.slice("known", F.lit(1), take).alias("prefix"), weight.alias("weight"))
+
+
+def _listed(prefixes: DataFrame) -> DataFrame:
+    """The inverted lists: ``value``, ``n`` (classes that retain it), ``rep``, ``weight``."""
+    rows = prefixes.select("rep", "weight", F.explode("prefix").alias("of"))
+    return rows.select("of.value", "of.n", "rep", "weight")
 
 
 def _close(a, b, sizes, k: int, c: int, similarity: float) -> bool:
@@ -187,12 +197,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _hub_pairs(prefixes: DataFrame) -> DataFrame:
-    """Each class with the hubs of its lists: the first member by id and by two hashes of it."""
-    by = [F.struct(F.col("rep").alias("o"), "rep")]
-    by += [F.struct(F.xxhash64("rep", F.lit(s)).alias("o"), "rep") for s in (1, 2)]
-    hubs = prefixes.groupBy("value").agg(F.count("*").alias("n"), *[F.min(x).alias(f"h{i}") for i, x in enumerate(by)])
+    """Each class with the hubs of its lists: the first member by weight, by id and by a hash of it."""
+    by = [F.struct((-F.col("weight")).alias("o"), "rep"), F.struct(F.col("rep").alias("o"), "rep")]
+    by += [F.struct(F.xxhash64("rep", F.lit(1)).alias("o"), "rep")]
+    lists = _listed(prefixes)
+    hubs = lists.groupBy("value").agg(F.count("*").alias("n"), *[F.min(x).alias(f"h{i}") for i, x in enumerate(by)])
     hubs = hubs.where("n > 1").select("value", F.array_distinct(F.array("h0.rep", "h1.rep", "h2.rep")).alias("hubs"))
-    pairs = prefixes.join(hubs, "value").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub")
+    pairs = lists.join(hubs, "value").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub")
     return pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
 
 
@@ -227,13 +238,16 @@ def _tiled_pairs(prefixes: DataFrame, roots: DataFrame, classes: DataFrame, k: i
     """
     c = least_overlap(k, similarity)
     rows = prefixes.join(roots, prefixes.rep == roots.node, "left")
-    rows = staged(rows.select("value", "rep", F.coalesce("root", "rep").alias("root")))
-    same = rows.groupBy("value").agg(
+    rows = rows.select("rep", F.coalesce("root", "rep").alias("root"), F.explode("prefix").alias("of"))
+    rows = staged(rows.select("of.value", F.col("of.n").alias("retained"), "rep", "root"))
+    same = rows.groupBy("value", "retained").agg(
         F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
         F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
     )
-    open_lists = same.where("n > 2 and low <> high").groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value")
-    rows = rows.join(open_lists, "value")
+    open_lists = same.where("n > 2 and low <> high").groupBy("n", "x", "y")
+    # Of lists with the same members the rarest value stays: it is the rarest one that they have in common.
+    open_lists = open_lists.agg(F.min(F.struct("retained", "value")).alias("first")).select("first.value")
+    rows = rows.join(open_lists, "value").drop("retained")
     sizes = rows.groupBy("value", "root").agg(F.count("*").alias("n"))
     lists = sizes.groupBy("value").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
     lists = lists.select(
@@ -246,7 +260,8 @@ def _tiled_pairs(prefixes: DataFrame, roots: DataFrame, classes: DataFrame, k: i
     last = F.when(F.col("is_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
     tiles = rows.select("value", "rep", "root", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other"))
     tiles = tiles.select("value", "rep", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tiles = tiles.join(classes.select("rep", "set_key", "n_shingles", "sketch"), "rep")
+    order = prefixes.select("rep", F.transform("prefix", lambda x: x["value"]).alias("prefix"))
+    tiles = tiles.join(classes.select("rep", "set_key", "n_shingles", "sketch").join(order, "rep"), "rep")
     dealt = tiles.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
     def pairs_of(rows):
@@ -275,7 +290,8 @@ def _tiled_pairs(prefixes: DataFrame, roots: DataFrame, classes: DataFrame, k: i
                 fits[: at + 1] = False
             for other in np.flatnonzero(fits):
                 s = right[other]
-                if _close(r["sketch"].view(np.uint64), s["sketch"].view(np.uint64), (n, s["n_shingles"]), k, c, similarity):
+                # In each of the two the values are in order of rarity.
+                if next(filter(s["among"].__contains__, r["prefix"])) == r["value"] and _close(r["sketch"].view(np.uint64), s["sketch"].view(np.uint64), (n, s["n_shingles"]), k, c, similarity):
                     yield r["rep"], s["rep"], r["set_key"], s["set_key"]
 
     def run(batches):
@@ -297,7 +313,7 @@ def _tiled_pairs(prefixes: DataFrame, roots: DataFrame, classes: DataFrame, k: i
                     if held:
                         yield out(pairs_of(held))
                     tile, held = key, []
-                held.append(row | {"sketch": np.array(s)})
+                held.append(row | {"sketch": np.array(s), "among": frozenset(row["prefix"])})
         if held:
             yield out(pairs_of(held))
 
