@@ -34,8 +34,8 @@ from .components import components
 SKETCH = 48
 #: Chance at most that a pair at the threshold shares fewer than c of its retained values.
 MISSED = 1e-8
-#: Members of a tile's side.
-TILE = 256
+#: Members of a tile's side, and values of the wider sketches that a tile compares: with smaller sets it decides.
+TILE, WIDE = 256, 1024
 CACHED = 600_000
 
 
@@ -114,8 +114,9 @@ def sketches(docs: DataFrame, words: int, k: int, id_col="doc_id", text_col="tex
     )
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """``set_key`` and ``values`` (the whole set, as bytes) of the documents in ``ids`` (``id``, ``set_key``)."""
+def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col="doc_id", text_col="text", most=None) -> DataFrame:
+    """``set_key`` and ``values`` (the whole set, or its ``most`` smallest values, as bytes) of the documents in
+    ``ids`` (``id``, ``set_key``)."""
 
     def run(batches):
         import pyarrow as pa
@@ -127,6 +128,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col="doc_id", text
             keys = [xxhash.xxh3_128_digest(x) for x in sets]
             # A repeated id may have another text too.
             wanted = [a == b for a, b in zip(keys, batch.column(1).to_pylist())]
+            sets = [x[: 8 * most] for x in sets] if most else sets
             columns = [pa.array(x, pa.binary()).filter(pa.array(wanted, pa.bool_())) for x in (keys, sets)]
             yield pa.RecordBatch.from_arrays(columns, ["set_key", "values"])
 
@@ -230,13 +232,14 @@ def _filtered(pairs: DataFrame, classes: DataFrame, k: int, similarity: float) -
     return rows.mapInArrow(run, "a bigint, b bigint, key_a binary, key_b binary")
 
 
-def _tiled_pairs(prefixes: DataFrame, roots: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Possible pairs of classes of different components that share a listed value.
+def _tiled_pairs(prefixes, roots, classes, wider, k: int, percent: int) -> DataFrame:
+    """Possible pairs of classes of different components that share a listed value; ``wider(ids)`` gives wider sketches.
 
     Lists with the same members count once.  In a list, the members of all components but the largest are
     cut into blocks and meet each other and the blocks of the largest, a tile at a time.
     """
-    c = least_overlap(k, similarity)
+    similarity, wide = percent / 100, WIDE
+    c, c_wide = least_overlap(k, similarity), least_overlap(wide, similarity)
     rows = prefixes.join(roots, prefixes.rep == roots.node, "left")
     rows = rows.select("rep", F.coalesce("root", "rep").alias("root"), F.explode("prefix").alias("of"))
     rows = staged(rows.select("of.value", F.col("of.n").alias("retained"), "rep", "root"))
@@ -261,7 +264,9 @@ def _tiled_pairs(prefixes: DataFrame, roots: DataFrame, classes: DataFrame, k: i
     tiles = rows.select("value", "rep", "root", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other"))
     tiles = tiles.select("value", "rep", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     order = prefixes.select("rep", F.transform("prefix", lambda x: x["value"]).alias("prefix"))
-    tiles = tiles.join(classes.select("rep", "set_key", "n_shingles", "sketch").join(order, "rep"), "rep")
+    members = classes.join(rows.select("rep").distinct(), "rep", "left_semi")
+    members = members.join(order, "rep").join(wider(members.select(F.col("rep").alias("id"), "set_key")), "set_key")
+    tiles = tiles.join(members.select("rep", "set_key", "n_shingles", "sketch", "prefix", "values"), "rep")
     dealt = tiles.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
     def pairs_of(rows):
@@ -288,11 +293,22 @@ def _tiled_pairs(prefixes: DataFrame, roots: DataFrame, classes: DataFrame, k: i
             fits = (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n) - 1e-9) & (across != r["root"]) & (common >= least)
             if i == j:
                 fits[: at + 1] = False
+            linked = set()
             for other in np.flatnonzero(fits):
                 s = right[other]
                 # In each of the two the values are in order of rarity.
-                if next(filter(s["among"].__contains__, r["prefix"])) == r["value"] and _close(r["sketch"].view(np.uint64), s["sketch"].view(np.uint64), (n, s["n_shingles"]), k, c, similarity):
-                    yield r["rep"], s["rep"], r["set_key"], s["set_key"]
+                if s["root"] in linked or next(filter(s["among"].__contains__, r["prefix"])) != r["value"]:
+                    continue
+                both = n, s["n_shingles"]
+                if max(both) <= wide:
+                    # Whole sets: one link with a component is enough.
+                    common = len(np.intersect1d(r["wide"], s["wide"], assume_unique=True))
+                    if 100 * common < percent * (sum(both) - common):
+                        continue
+                    linked.add(s["root"])
+                elif not _close(r["wide"], s["wide"], both, wide, c_wide, similarity):
+                    continue
+                yield r["rep"], s["rep"], r["set_key"], s["set_key"]
 
     def run(batches):
         import numpy as np
@@ -308,6 +324,7 @@ def _tiled_pairs(prefixes: DataFrame, roots: DataFrame, classes: DataFrame, k: i
         for batch in batches:
             sketch = [x.values.to_numpy() for x in batch.column(batch.schema.get_field_index("sketch"))]
             for row, s in zip(batch.drop_columns(["sketch"]).to_pylist(), sketch):
+                row["wide"] = np.frombuffer(row.pop("values"), np.uint64)
                 key = row["value"], row["i"], row["j"]
                 if key != tile:
                     if held:
@@ -345,7 +362,8 @@ def near_duplicates(docs: DataFrame, words=5, percent=80, k=SKETCH, id_col="doc_
     links, known = staged(links.select(F.col("id").alias("a"), F.col("rep").alias("b"))), None
     for turn in (1, 2):
         if turn == 2:
-            pairs = staged(_tiled_pairs(prefixes, known, classes, k, similarity))
+            wider = lambda ids: full_sets(docs, ids, words, id_col, text_col, WIDE)
+            pairs = staged(_tiled_pairs(prefixes, known, classes, wider, k, percent))
         wanted = pairs.select(F.col("a").alias("id"), F.col("key_a").alias("set_key"))
         wanted = wanted.union(pairs.select("b", "key_b")).distinct()
         sets = staged(full_sets(docs, wanted, words, id_col, text_col))
