@@ -2,10 +2,11 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 import threatlog as tl
-from threatlog.streaming import live_counts, start_alerts, stream_alert_steps, tail_logs
+from threatlog.streaming import ROCKSDB, live_counts, start_alerts, stream_alert_steps, tail_logs
 
 START = datetime(2026, 5, 20, 23, 57)
 
@@ -44,7 +45,52 @@ def drain(df, out, checkpoint, mode="append"):
     query.awaitTermination()
 
 
-def test_alert_stream_in_any_order_equals_batch(spark, log, tmp_path):
+@pytest.fixture
+def keyed_state(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    yield
+    spark.conf.set(key, before)
+
+
+def test_times_that_are_none_or_far_ahead_lose_no_alert(spark, log, tmp_path, keyed_state):
+    ahead = '9.9.9.9 - - [01/Jan/2099:00:00:00 +0000] "GET / HTTP/1.1" 200 1'
+    texts = ["free text about 9.9.9.9", ahead] + [line(n, "9.9.9.9") for n in range(6)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_file(folder, "0.txt", [(1, texts[0]), (2, texts[1])], 1_700_000_000)
+    for n in (1, 2):
+        rows = list(enumerate(texts, start=1))
+        write_file(folder, f"{n}.txt", rows[3 * n - 1 : 3 * n + 2], 1_700_000_000 + n)
+    late = datetime(2026, 6, 1)
+    batch = tl.alert_steps(tl.ticks(tl.parse_logs(log(texts), as_of=late))).where("rule_id = 'R008'").count()
+    assert batch == 1
+    start_alerts(stream_of(spark, folder), as_of=late, out=str(tmp_path / "out"), checkpoint=str(tmp_path / "c")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/alerts")).where("rule_id = 'R008'").count() == 1
+    drain(stream_alert_steps(tl.parse_logs(stream_of(spark, folder), as_of=late)), tmp_path / "steps", tmp_path / "c2")
+    assert spark.read.parquet(str(tmp_path / "steps")).where("rule_id = 'R008'").count() == 1
+
+
+def test_own_counters_on_a_stream(spark, log, tmp_path):
+    own = {"deleted": F.col("method") == "DELETE"}
+    rule = tl.ThresholdRule("X1", "deletions", "HIGH", "deleted", 3, 3, "{n} by {ip}", "{n}")
+    texts = [line(n, "8.8.8.8").replace("POST", "DELETE") for n in range(4)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_file(folder, "0.txt", list(enumerate(texts, start=1)), 1_700_000_000)
+    options = {"as_of": START, "thresholds": (rule,)}
+    start_alerts(stream_of(spark, folder), out=str(tmp_path / "out"), checkpoint=str(tmp_path / "c"), counters=own, **options).awaitTermination()
+    assert [(r["rule_id"], r["count"]) for r in spark.read.parquet(str(tmp_path / "out/alerts")).where("rule_id = 'X1'").collect()] == [("X1", 3)]
+    with tl.Analysis(log(texts), counters=own, **options) as analysis:
+        assert [r["rule_id"] for r in analysis.threats.where("phase = 1").collect()] == ["X1"]
+    with pytest.raises(ValueError):
+        start_alerts(stream_of(spark, folder), out=str(tmp_path / "o"), checkpoint=str(tmp_path / "d"), **options)
+    with pytest.raises(ValueError):
+        tl.Analysis(log(texts), **options)
+
+
+def test_alert_stream_in_any_order_equals_batch(spark, log, tmp_path, keyed_state):
     texts = burst_lines()
     expected = {
         (r["rule_id"], r["ip"], r["alert_step"], r["count"])
@@ -56,7 +102,7 @@ def test_alert_stream_in_any_order_equals_batch(spark, log, tmp_path):
     rows = list(enumerate(texts, start=1))
     random.Random(1).shuffle(rows)
     entries = tl.parse_logs(stream_of(spark, folder), as_of=START)
-    alerts = stream_alert_steps(entries, delay="30 minutes")
+    alerts = stream_alert_steps(entries, delay=timedelta(minutes=30))
     # Two runs from one checkpoint, two files each.
     for n in range(4):
         write_file(folder, f"{n}.txt", rows[n::4], 1_700_000_000 + n)
@@ -136,12 +182,13 @@ def test_tail_follows_appends_and_truncation(spark, tmp_path):
     path = tmp_path / "app.log"
     path.write_bytes(b"one\ntw\xc3\xb6\nhalf")
 
-    def run(name, start="beginning"):
-        drain(tail_logs(spark, str(tmp_path / "*.log"), start), tmp_path / f"out-{name}", tmp_path / f"ck-{name}")
+    def run(name, start="beginning", unfinished=False):
+        drain(tail_logs(spark, str(tmp_path / "*.log"), start, unfinished), tmp_path / f"out-{name}", tmp_path / f"ck-{name}")
         rows = spark.read.schema("line string, source string, seq bigint").parquet(str(tmp_path / f"out-{name}"))
         return [(r["line"], r["seq"]) for r in rows.orderBy("seq").collect()]
 
     assert run("a") == [("one", 0), ("twö", 4)]
+    assert run("whole", unfinished=True) == [("one", 0), ("twö", 4), ("half", 9)]
     with path.open("ab") as file:
         file.write(b" done\r\n\nlast\n")
     assert run("a") == [("one", 0), ("twö", 4), ("half done", 9), ("", 20), ("last", 21)]

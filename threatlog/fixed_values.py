@@ -29,14 +29,8 @@ FILE_INCLUSION = r"(?:=https?://|=ftp://|/etc/passwd|/etc/hosts|/win\.ini|boot\.
 COMMAND_INJECTION = (
     r"(?:[;&|`]\s*(?:cat|wget|curl|ping|id|whoami|uname|sh|bash|powershell|cmd\.exe)\b|\$\(.*\))"
 )
-WEB_SHELL = (
-    r"(?:shell\.php|cmd\.php|c99\.php|r57\.php|eval-stdin\.php|backdoor\.php"
-    r"|shell\.jsp|cmd\.jsp|cmd\.aspx)"
-)
-CONFIG_FILE = (
-    r"(?:\.env|\.git/config|wp-config\.php|database\.yml|config\.json|settings\.py"
-    r"|backup\.sql|dump\.sql|\.bak|\.sql)"
-)
+WEB_SHELL = r"(?:shell\.php|cmd\.php|c99\.php|r57\.php|eval-stdin\.php|backdoor\.php|shell\.jsp|cmd\.jsp|cmd\.aspx)"
+CONFIG_FILE = r"(?:\.env|\.git/config|wp-config\.php|database\.yml|config\.json|settings\.py|backup\.sql|dump\.sql|\.bak|\.sql)"
 
 # Phrases that make a line an authentication failure (rule R006).
 AUTH_FAILURE_PHRASES = (
@@ -118,7 +112,6 @@ EVIDENCE_CAP = 5
 # Layout detection: candidate delimiters in order, share of JSON lines that makes a JSON log, column patterns.
 DELIMITERS = ("|", ",", "\t", ";")
 JSON_SHARE = 0.7
-LAYOUT_SAMPLE_LINES = 15
 STATUS_TOKEN = r"^\b[1-5]\d{2}\b$"
 METHOD_TOKEN = r"^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)$"
 PATH_TOKEN = r"^/[a-zA-Z0-9_\-\.\/]*$"

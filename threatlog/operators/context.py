@@ -30,10 +30,11 @@ def number_lines(lines: DataFrame) -> DataFrame:
         lines.groupBy("source", "file", "block")
         .agg(F.min("seq").alias("_first"), F.count("*").alias("_size"))
         .withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-        .drop("_size")
+        .select(F.col("source").alias("_source"), F.col("file").alias("_file"), F.col("block").alias("_block"), "_first", "_offset")
     )
     number = F.col("seq") - F.col("_first") + F.col("_offset") + 1
-    return lines.join(blocks, ["source", "file", "block"]).withColumn("line_no", number).drop("_first", "_offset")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
+    return lines.join(blocks, same).withColumn("line_no", number).select(*lines.columns, "line_no")
 
 
 def context_lines(numbered: DataFrame, alerts: DataFrame, size: int = CONTEXT_LINES) -> DataFrame:
@@ -46,4 +47,6 @@ def context_lines(numbered: DataFrame, alerts: DataFrame, size: int = CONTEXT_LI
     wanted = alerts.select(
         "source", F.explode(F.sequence(line_no - (size - 1), line_no)).alias("line_no")
     ).distinct()
-    return numbered.join(wanted, ["source", "line_no"], "left_semi")
+    wanted = wanted.toDF("_source", "_line_no")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("line_no") == F.col("_line_no"))
+    return numbered.join(wanted, same, "left_semi")

@@ -6,35 +6,35 @@ table; only the last choice walks over the aggregated columns, one row per colum
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
     DELIMITERS,
     IP_ADDRESS,
     JSON_SHARE,
-    LAYOUT_SAMPLE_LINES,
     LINE_FLAGS,
     METHOD_TOKEN,
     PATH_TOKEN,
     STATUS_TOKEN,
 )
 from ..functions.text import stripped
+from ..session import staged
 from .parse import DelimitedLayout, parse_logs, split_columns
 
 _NAMES = ("pipe", "comma", "tab", "semicolon")
 _KNOWN = ("json", "access", "ssh", "syslog", "generic")
 
 
-def first_lines(lines: DataFrame, sample_lines: int | None = LAYOUT_SAMPLE_LINES) -> DataFrame:
-    """The first lines by ``seq``, or all of them.
-
-    Lines read from files are numbered as they are read, so their first ones are at hand; other
-    lines are searched for theirs.
-    """
+def first_lines(lines: DataFrame, sample_lines: int | None = None) -> DataFrame:
+    """All lines; or, for a caller that asks for it, the first ones: by file and place in it, else by ``seq``."""
     if sample_lines is None:
         return lines
-    return (lines if "block" in lines.columns else lines.orderBy("seq")).limit(sample_lines)
+    order = ["file", "block", "seq"] if "block" in lines.columns else ["seq"]
+    return lines.orderBy(*order).limit(sample_lines)
 
 
 def _filled_lines(lines):
@@ -42,16 +42,20 @@ def _filled_lines(lines):
     return lines.select(raw).where((F.col("raw") != "") & ~F.col("raw").startswith("#"))
 
 
-def delimiter_stats(lines: DataFrame) -> DataFrame:
+def delimiter_stats(lines: DataFrame, known: bool = False) -> DataFrame:
     """One row: filled lines, lines that look like JSON objects, and per delimiter the fewest and
-    most occurrences in a line."""
+    most occurrences in a line; with ``known`` also ``n_known``, the lines of a built-in format."""
     raw = F.col("raw")
     looks_json = raw.startswith("{") & raw.endswith("}")
     found = [F.count("*").alias("n_lines"), F.count_if(looks_json).alias("n_json")]
     for name, delimiter in zip(_NAMES, DELIMITERS):
         occurs = F.length(raw) - F.length(F.replace(raw, F.lit(delimiter), F.lit("")))
         found += [F.min(occurs).alias(f"min_{name}"), F.max(occurs).alias(f"max_{name}")]
-    return _filled_lines(lines).agg(*found)
+    if not known:
+        return _filled_lines(lines).agg(*found)
+    found.append(F.count_if(F.col("format").isin(*_KNOWN)).alias("n_known"))
+    entries = parse_logs(lines, as_of=datetime(2000, 1, 1), columns=("raw", "format"))
+    return entries.agg(*found)
 
 
 def column_stats(lines: DataFrame, delimiter: str) -> DataFrame:
@@ -61,13 +65,15 @@ def column_stats(lines: DataFrame, delimiter: str) -> DataFrame:
     is about the all-digit values only.
     """
     words = _filled_lines(lines).select(split_columns(F.col("raw"), delimiter).alias("words"))
-    width = words.agg(F.min(F.size("words"))).first()[0] or 0
     token = F.col("token")
     digits = token.rlike(r"^\d+$")
+    # A column that every line has occurs as often as the first one.
+    every = W.orderBy("position").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return (
-        words.select(F.posexplode(F.slice("words", 1, width)).alias("position", "token"))
+        words.select(F.posexplode("words").alias("position", "token"))
         .groupBy("position")
         .agg(
+            F.count("*").alias("_n"),
             F.bool_or(token.rlike(LINE_FLAGS + IP_ADDRESS)).alias("any_ip"),
             F.bool_or(token.rlike("(?i)" + METHOD_TOKEN)).alias("any_method"),
             F.bool_or(digits).alias("any_digits"),
@@ -75,6 +81,9 @@ def column_stats(lines: DataFrame, delimiter: str) -> DataFrame:
             F.bool_or(token.rlike(PATH_TOKEN)).alias("any_path"),
             F.bool_or(token.rlike(r"[-/:]") & token.rlike(r"\d")).alias("any_time"),
         )
+        .withColumn("_lines", F.max("_n").over(every))
+        .where(F.col("_n") == F.col("_lines"))
+        .drop("_n", "_lines")
     )
 
 
@@ -114,25 +123,24 @@ def pick_columns(columns, delimiter: str, strict_compat: bool = False) -> Delimi
 
 
 def infer_layout(
-    lines: DataFrame, sample_lines: int | None = LAYOUT_SAMPLE_LINES, strict_compat: bool = False
+    lines: DataFrame, sample_lines: int | None = None, strict_compat: bool = False
 ) -> DelimitedLayout | str | None:
     """The layout of a log: ``json``, ``known`` (all lines fit a built-in format), a
     :class:`DelimitedLayout`, or None without any filled line.
 
+    All lines are looked at, in two passes at most; ``sample_lines`` limits it to the first ones.
     ``strict_compat`` never answers ``known``.
     """
     sample = first_lines(lines, sample_lines)
-    stats = delimiter_stats(sample).first()
+    if sample_lines is not None:
+        sample = staged(sample)
+    stats = delimiter_stats(sample, known=not strict_compat).first()
     if not stats["n_lines"]:
         return None
     if stats["n_json"] > stats["n_lines"] * JSON_SHARE:
         return "json"
-    if not strict_compat:
-        from datetime import datetime
-
-        entries = parse_logs(sample, as_of=datetime(2000, 1, 1))
-        if not entries.where(~F.col("format").isin(*_KNOWN)).limit(1).collect():
-            return "known"
+    if not strict_compat and stats["n_known"] == stats["n_lines"]:
+        return "known"
     delimiter = pick_delimiter(stats)
     columns = column_stats(sample, delimiter).collect()
     return pick_columns(columns, delimiter, strict_compat) if columns else None

@@ -26,6 +26,7 @@ from ..functions.text import contains_any, first_ip, stripped
 
 ENTRY_COLUMNS = (
     "seq", "source", "format", "raw", "ts", "tz_offset", "ip", "user", "method", "path", "status", "message",
+    "ts_read",
 )
 
 DROPPED = "dropped"
@@ -51,6 +52,7 @@ def parse_logs(
     layout: DelimitedLayout | str | None = None,
     strict_compat: bool = False,
     keep_dropped: bool = False,
+    columns=None,
 ) -> DataFrame:
     """``lines(line, source, seq)`` to entries; works on batch and streaming frames.
 
@@ -58,7 +60,9 @@ def parse_logs(
     years.  ``layout`` is what :func:`infer_layout` found; only a delimited one changes the
     parsing.  ``strict_compat`` leaves year-less times and delimited date-times with a blank
     unread, as the original tool does.  ``keep_dropped`` keeps blank and comment lines, with
-    format ``dropped`` and no fields, for counting and for context.
+    format ``dropped`` and no fields, for counting and for context.  ``ts_read`` tells whether the
+    time is the line's own.  With ``columns`` only these fields are made (next to ``seq`` and
+    ``source``), and what no wanted field needs is not computed.
     """
     raw = F.col("raw")
     drop = (raw == "") | raw.startswith("#")
@@ -70,12 +74,15 @@ def parse_logs(
         fields = _delimited(base, drop, layout, year, strict_compat)
     else:
         fields = _recognised(base, drop, year, strict_compat)
+    read = F.col("ts").isNotNull()
     ts = F.coalesce(F.col("ts"), F.lit(as_of).cast("timestamp_ntz"))
     if keep_dropped:
         ts = F.when(F.col("format") != DROPPED, ts)
     # One record per line, made by a generator: without it the optimizer would copy the whole
     # parsing into every filter or join on a parsed field and push it below, to run twice.
-    named = [ts.alias("ts") if name == "ts" else F.col(name) for name in ENTRY_COLUMNS[2:]]
+    made = {"ts": ts.alias("ts"), "ts_read": read.alias("ts_read")}
+    wanted = ENTRY_COLUMNS[2:] if columns is None else [c for c in ENTRY_COLUMNS[2:] if c in columns]
+    named = [made.get(name, F.col(name)) for name in wanted]
     record = F.explode_outer(F.array(F.struct(*named))).alias("record")
     return fields.select("seq", "source", record).select("seq", "source", "record.*")
 

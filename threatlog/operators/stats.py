@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed_values import RISK_BANDS, RISK_CAP, SEVERITY, SEVERITY_ORDER
-from ..functions.text import filled, line_severity
+from ..functions.text import filled, line_severity, stripped
 
 
 def counts_of(entries: DataFrame, column: str) -> DataFrame:
@@ -122,10 +122,10 @@ def threat_details(threats: DataFrame, evidences: int = 2, chars: int = 120) ->
 
 def line_severities(lines: DataFrame) -> DataFrame:
     """Filled lines with their colouring class: ``seq, line, severity``."""
-    return lines.where(F.trim("line") != "").select("seq", "line", line_severity(F.col("line")).alias("severity"))
+    return lines.where(stripped(F.col("line")) != "").select("seq", "line", line_severity(F.col("line")).alias("severity"))
 
 
 def search_lines(lines: DataFrame, text: str = "", limit: int = 100) -> DataFrame:
     """The first filled lines that contain a text, letter case ignored."""
-    found = lines.where((F.trim("line") != "") & F.contains(F.lower("line"), F.lit(text.lower())))
+    found = lines.where((stripped(F.col("line")) != "") & F.contains(F.lower("line"), F.lit(text.lower())))
     return found.orderBy("seq").limit(limit)

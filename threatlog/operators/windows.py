@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -217,11 +219,10 @@ def numbered_within(df: DataFrame, keys, name: str, order: str = "seq", width: i
         .select(*group, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     )
     inside = sliced.withColumn("_row", F.row_number().over(W.partitionBy(*group).orderBy(order)))
-    return (
-        inside.join(offsets, group)
-        .withColumn(name, F.col("_row") + F.col("_offset"))
-        .drop("_slice", "_row", "_offset")
-    )
+    # Keys may be NULL.
+    offsets = offsets.toDF(*[f"_of_{c}" for c in group], "_offset")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
+    return inside.join(offsets, same).withColumn(name, F.col("_row") + F.col("_offset")).select(*df.columns, name)
 
 
 def _counter_names(counters):

@@ -33,11 +33,11 @@ from ..operators.merge import burst_threats, merge_grouped, ranked_threats
 from ..operators.parse import DROPPED, parse_logs
 from ..operators.rules import RuleSet, candidate_hits, counter_flags, default_rules
 from ..operators.windows import default_thresholds, threshold_hits
-from ..session import staged
+from ..session import remove_folder, scratch_folder, staged
 
 # Group kinds; threat and evidence groups carry the rule's number on top.
-_LINE, _TICK, _PATH, _STATUS, _THREAT, _EVIDENCE = 1, 2, 3, 4, 1000, 2000
-_RULE_SPAN = 1000
+_RULE_SPAN = 500_000_000
+_LINE, _TICK, _PATH, _STATUS, _THREAT, _EVIDENCE = 1, 2, 3, 4, _RULE_SPAN, 2 * _RULE_SPAN
 
 
 class Analysis:
@@ -49,16 +49,17 @@ class Analysis:
         as_of: datetime,
         rules: RuleSet | None = None,
         thresholds=None,
+        counters=None,
         **parse_options,
     ):
+        """``counters`` (name to condition over entries) come on top of the three built-in ones."""
         self.lines = lines
         self.as_of = as_of
         self.rules = rules or default_rules()
         self.thresholds = tuple(thresholds or default_thresholds())
-        self._parse_options = parse_options
-        if len(self.rules.rules) >= _RULE_SPAN:
-            raise ValueError("too many rules")
-        unknown = {r.counter for r in self.thresholds} - set(counter_flags())
+        self._parse_options, self._folders = parse_options, []
+        self.counters = counter_flags() | (counters or {})
+        unknown = {r.counter for r in self.thresholds} - set(self.counters)
         if unknown:
             raise ValueError(f"no such counter: {sorted(unknown)}")
 
@@ -69,13 +70,29 @@ class Analysis:
     @cached_property
     def groups(self) -> DataFrame:
         """The counted groups, written to the scratch folder."""
-        return staged(self._count_groups(), "kind")
+        return self._kept(self._count_groups(), "kind")
+
+    def _kept(self, df, *partition_by):
+        self._folders.append(scratch_folder(df.sparkSession))
+        return staged(df, *partition_by, path=self._folders[-1])
+
+    def close(self) -> None:
+        """Remove the tables that were written; results asked for before cannot be read after."""
+        for name in ("groups", "threats", "ranked"):
+            self.__dict__.pop(name, None)
+        while self._folders:
+            remove_folder(self.lines.sparkSession, self._folders.pop())
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
 
     def _count_groups(self) -> DataFrame:
         rules = self.rules
         every = parse_logs(self.lines, as_of=self.as_of, keep_dropped=True, **self._parse_options)
         kept = F.col("format") != DROPPED
-        flags = counter_flags()
         hits = F.col("candidates")
         # Every line, plus its tick, path and status if it has them, plus two groups per possible hit.
         numbers = F.concat(
@@ -91,7 +108,8 @@ class Analysis:
             F.transform(hits, lambda n: n + _THREAT),
             F.transform(hits, lambda n: n + _EVIDENCE),
         )
-        marked = every.withColumns({f"_{name}": kept & flag for name, flag in flags.items()})
+        flags = {f"_counter{i}": kept & flag for i, flag in enumerate(self.counters.values())}
+        marked = every.withColumns(flags)
         fanned = candidate_hits(marked, rules).withColumn("_group", F.explode_outer(numbers))
         group = F.col("_group")
         rule_no = F.when(group >= _THREAT, group % _RULE_SPAN)
@@ -116,7 +134,7 @@ class Analysis:
             F.when(is_threat, F.col("user")).alias("user"),
             text.alias("text"),
             F.when(is_tick, F.col("ts")).alias("at"),
-            "seq", "ts", "tz_offset", "status", "_fail", "_not_found",
+            "seq", "ts", "tz_offset", "status", *flags,
             *(
                 [rules.by_number(no, lambda r: r.describe(F.col("ip"), F.col("user"), F.col("status")))
                  .alias("description")]
@@ -129,11 +147,9 @@ class Analysis:
         seq = F.col("seq")
         return keyed.groupBy("kind", "rule_no", "ip", "user", "text", "at").agg(
             F.count("*").alias("n"),
-            F.count_if("_fail").alias("n_fail"),
-            F.count_if("_not_found").alias("n_not_found"),
             F.min("seq").alias("first_seq"),
-            F.min(F.when(F.col("_fail"), seq)).alias("first_fail"),
-            F.min(F.when(F.col("_not_found"), seq)).alias("first_not_found"),
+            *[F.count_if(c).alias(f"n{c}") for c in flags],
+            *[F.min(F.when(F.col(c), seq)).alias(f"first{c}") for c in flags],
             *first,
         )
 
@@ -151,12 +167,8 @@ class Analysis:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        """``counter, ip, ts, n, first_seq`` of the three counters."""
-        sources = {
-            "fail": ("n_fail", "first_fail"),
-            "not_found": ("n_not_found", "first_not_found"),
-            "request": ("n", "first_seq"),
-        }
+        """``counter, ip, ts, n, first_seq`` of the counters."""
+        sources = {name: (f"n_counter{i}", f"first_counter{i}") for i, name in enumerate(self.counters)}
         options = F.array(
             *[
                 F.struct(F.lit(name).alias("counter"), F.col(n).alias("n"), F.col(seq).alias("first_seq"))
@@ -181,7 +193,7 @@ class Analysis:
             *([F.col("first_description").alias("description")] if self.rules.free_text else []),
         )
         bursts = threshold_hits(self.ticks, self.thresholds)
-        return staged(merge_grouped(grouped, self.rules).unionByName(burst_threats(bursts)))
+        return self._kept(merge_grouped(grouped, self.rules).unionByName(burst_threats(bursts)))
 
     @cached_property
     def ranked(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_folder(spark: SparkSession) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names none (as in tests) is it a local temporary folder.
+    Where the session names none, a local master gets a local temporary folder; on a cluster, whose
+    executors would not see one another's files there, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="threatlog-")
     return f"{root.rstrip('/')}/threatlog-{uuid.uuid4().hex}"
 

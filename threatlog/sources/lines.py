@@ -41,13 +41,14 @@ def from_text(spark: SparkSession, text: str, source: str = "upload") -> DataFra
 
 
 def spread(lines: DataFrame, by: str = "seq") -> DataFrame:
-    """Batch rows dealt out to all cores, if they come in fewer pieces than there are cores.
+    """Batch rows dealt out by a hash of ``by``, whatever their number.
 
-    One small or compressed file is read by one task, and parsing costs far more than moving
-    the lines.  Input in many pieces is left as it is.
+    For input that only one task can read, such as a compressed file: parsing costs far more than
+    moving the lines.  Input that Spark can split needs no such step.
     """
-    cores = lines.sparkSession.sparkContext.defaultParallelism
-    return lines.repartition(cores, by) if lines.rdd.getNumPartitions() < cores else lines
+    spark = lines.sparkSession
+    pieces = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return lines.repartition(pieces, by)
 
 
 def stream_logs(spark: SparkSession, folder: str, **options) -> DataFrame:

@@ -1,6 +1,6 @@
 """The same operators on unbounded input."""
 
-from .bursts import stream_alert_steps
+from .bursts import ROCKSDB, stream_alert_steps
 from .counts import live_counts
 from .job import start_alerts
 from .tail import TailSource, tail_logs

@@ -1,8 +1,7 @@
 """Throttled burst alerts as a stateful stream.
 
 Rows are added up inside each task before they are shuffled, so a busy address sends one row
-per distinct time and Arrow batch.  The state of an address is its counts within the last
-window before the watermark, and its peak so far.
+per distinct time and Arrow batch.  The state of an address is its recent counts and its peak so far.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.times import wall_clock, wall_micros
+from ..operators.rules import counter_flags
 from ..operators.windows import _counter_names, _with_texts, default_thresholds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,25 +23,43 @@ _OUTPUT = (
 )
 
 
-def stream_alert_steps(entries: DataFrame, thresholds=None, delay: str = "10 minutes", counters=None) -> DataFrame:
+def stream_alert_steps(
+    entries: DataFrame, thresholds=None, delay: timedelta = timedelta(minutes=10), counters=None,
+    idle: timedelta = timedelta(days=1),
+) -> DataFrame:
     """Streaming entries to alert steps, the same steps as :func:`threatlog.alert_steps`.
 
-    Rows may come in any order within ``delay``; later ones are dropped.  An alert's ``ts`` is
-    the first time whose window reaches the step in the rows known by then.
+    No row is dropped for its time: an address keeps its counts from one window and ``delay`` before the
+    middle of the read times it knows, so neither a line of the future nor one without a time (which all
+    count at their stand-in) moves them.  An address is forgotten when nothing has come from it for
+    ``idle`` of real time.  An alert's ``ts`` is the first time whose window reaches the step in the rows
+    known by then.  ``counters`` come on top of the built-in ones; a threshold of any other is an error.
+
+    The session's state store has to be RocksDB (:data:`ROCKSDB`), which Spark asks for here.
     """
     spark = entries.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     thresholds = tuple(thresholds or default_thresholds())
+    counters = counter_flags() | (counters or {})
+    unknown = {r.counter for r in thresholds} - set(counters)
+    if unknown:
+        raise ValueError(f"no such counter: {sorted(unknown)}")
     counted = (
-        entries.select("ip", "ts", F.explode(_counter_names(counters)).alias("counter"))
-        .select("counter", "ip", wall_micros(F.col("ts")).alias("at"), F.lit(1).cast("bigint").alias("n"))
-        .mapInArrow(_add_up, "counter string, ip string, at bigint, n bigint")
-        .withColumn("event_time", F.timestamp_micros("at"))
-        .withWatermark("event_time", delay)
+        entries.select("ip", "ts", "ts_read", F.explode(_counter_names(counters)).alias("counter"))
+        .select(
+            "counter", "ip", wall_micros(F.col("ts")).alias("at"), F.col("ts_read").alias("read"),
+            F.lit(1).cast("bigint").alias("n"),
+        )
+        .mapInArrow(_add_up, "counter string, ip string, at bigint, read boolean, n bigint")
+        # The watermark follows the arrival of rows, so that no row is ever late.
+        .withColumn("arrived", F.current_timestamp())
+        .withColumn("arrived_ms", F.unix_millis("arrived"))
+        .withWatermark("arrived", "1 minute")
     )
     alerts = counted.groupBy("counter", "ip").transformWithStateInPandas(
-        statefulProcessor=_Bursts(thresholds), outputStructType=_OUTPUT, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=_Bursts(thresholds, delay, idle), outputStructType=_OUTPUT, outputMode="Append",
+        timeMode="EventTime",
     )
     timed = alerts.withColumns(
         {
@@ -58,10 +76,11 @@ def stream_alert_steps(entries: DataFrame, thresholds=None, delay: str = "10 min
 def _add_up(batches):
     import pyarrow as pa
 
+    names = ["counter", "ip", "at", "read"]
     for batch in batches:
-        summed = pa.Table.from_batches([batch]).group_by(["counter", "ip", "at"]).aggregate([("n", "sum")])
+        summed = pa.Table.from_batches([batch]).group_by(names).aggregate([("n", "sum")])
         summed = summed.rename_columns(["n" if c == "n_sum" else c for c in summed.column_names])
-        yield from summed.select(["counter", "ip", "at", "n"]).to_batches()
+        yield from summed.select([*names, "n"]).to_batches()
 
 
 def _micros(span: timedelta) -> int:
@@ -71,14 +90,15 @@ def _micros(span: timedelta) -> int:
 class _Bursts(StatefulProcessor):
     """Counts and peaks of one address and counter."""
 
-    def __init__(self, thresholds):
+    def __init__(self, thresholds, delay, idle):
         self._rules = [
             (no, r.counter, r.threshold, r.step, _micros(r.window)) for no, r in enumerate(thresholds, start=1)
         ]
+        self._delay, self._idle = _micros(delay), idle // timedelta(milliseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._recent = handle.getValueState("recent", "at array<bigint>, n array<bigint>")
+        self._recent = handle.getValueState("recent", "at array<bigint>, read array<boolean>, n array<bigint>")
         # One peak per rule: rules of one counter may differ in their window.
         self._peaks = handle.getMapState("peaks", "rule_no int", "peak bigint")
 
@@ -91,11 +111,14 @@ class _Bursts(StatefulProcessor):
         if not rules:
             return
         longest = max(r[4] for r in rules)
-        arrived = pd.concat([frame[["at", "n"]] for frame in rows])
+        rows = list(rows)
+        now = max(int(frame["arrived_ms"].max()) for frame in rows)
+        arrived = pd.concat([frame[["at", "read", "n"]] for frame in rows])
         if self._recent.exists():
-            at, n = self._recent.get()
-            arrived = pd.concat([arrived, pd.DataFrame({"at": list(at), "n": list(n)})])
-        total = arrived.groupby("at", sort=True)["n"].sum()
+            at, read, n = self._recent.get()
+            arrived = pd.concat([arrived, pd.DataFrame({"at": list(at), "read": list(read), "n": list(n)})])
+        known = arrived.groupby(["at", "read"], sort=True, as_index=False)["n"].sum()
+        total = known.groupby("at", sort=True)["n"].sum()
         at, n = total.index.to_numpy(np.int64), total.to_numpy(np.int64)
         upto = np.cumsum(n)
         out = []
@@ -109,25 +132,24 @@ class _Bursts(StatefulProcessor):
                 out.append((rule_no, counter, ip, alert_step, alert_step * step, int(at[first]), int(at[left[first]])))
             if peak > before:
                 self._peaks.updateValue((rule_no,), (peak,))
-        # Rows still to come are not older than the watermark; their windows reach one window back.
-        keep = at >= timerValues.getCurrentWatermarkInMs() * 1000 - longest
-        self._recent.update((at[keep].tolist(), n[keep].tolist()))
+        timed = known[known["read"]]
+        if len(timed):
+            rank = np.searchsorted(timed["n"].cumsum().to_numpy(), (timed["n"].sum() + 1) // 2)
+            oldest = int(timed["at"].iloc[rank]) - self._delay - longest
+            known = known[~known["read"] | (known["at"] >= oldest)]
+        self._recent.update((known["at"].tolist(), known["read"].tolist(), known["n"].tolist()))
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        self._handle.registerTimer(int((at[-1] + longest) // 1000 + 1))
+        self._handle.registerTimer(now + self._idle)
         if out:
             yield pd.DataFrame(
                 out, columns=["rule_no", "counter", "ip", "alert_step", "count", "at_micros", "start_micros"]
             )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # The watermark has passed every window of this address: forget its counts, and its
-        # peaks too unless one has alerted.
         self._recent.clear()
-        least = {r[0]: r[2] for r in self._rules}
-        for (rule_no,), (peak,) in list(self._peaks.iterator()):
-            if peak < least[rule_no]:
-                self._peaks.removeKey((rule_no,))
+        for (rule_no,), _ in list(self._peaks.iterator()):
+            self._peaks.removeKey((rule_no,))
         return iter([])
 
     def close(self) -> None:

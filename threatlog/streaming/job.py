@@ -3,12 +3,16 @@
 Each micro-batch goes through the batch operators together with a little carried state,
 which is written as tables next to the checkpoint, one folder per epoch:
 
-* ``ticks``: counts no older than one window before the watermark;
+* ``ticks``: counts no older than one window and ``delay`` before the middle of the times known, and
+  those of lines without a readable time, which all count at ``as_of``;
 * ``peaks``: the peak of every address that has alerted;
 * ``tail``: the last fourteen lines of every source.
 
 Intermediate tables are replaced by the next batch, state older than one epoch is removed.
 
+No line is dropped for its time: a late one counts among what is still known.  As the middle of
+the times moves the state on, not the newest, a line dated in the future moves nothing.
+
 A batch that is run again after a failure reads the state of the epoch before it and
 overwrites its own output, so every alert and line is written once.
 """
@@ -26,7 +30,8 @@ from ..fixed_values import CONTEXT_LINES
 from ..operators.context import context_lines
 from ..operators.enrich import alert_text, notable
 from ..operators.parse import DROPPED, parse_logs
-from ..operators.rules import default_rules, rule_hits
+from ..functions.times import wall_micros
+from ..operators.rules import counter_flags, default_rules, rule_hits
 from ..operators.windows import alert_rows, alert_steps, default_thresholds, numbered_within, peaks, ticks
 from ..session import remove_folder, staged
 
@@ -46,6 +51,7 @@ def start_alerts(
     delay: timedelta = timedelta(minutes=10),
     on_alert: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
+    counters: dict | None = None,
     **parse_options,
 ):
     """Start the live job on streaming ``line, source, seq``; returns the streaming query.
@@ -53,9 +59,10 @@ def start_alerts(
     Below ``out`` it writes ``alerts`` (Parquet), ``alert_log`` and ``context`` (text), one
     ``epoch=N`` folder per micro-batch.  ``on_alert(frame, epoch)`` gets the HIGH and CRITICAL
     alerts of a batch; how they are sent is the caller's business.  Within a batch the lines of a
-    source are in order of ``seq``, or as read where it is NULL.
+    source are in order of ``seq``, or as read where it is NULL.  ``counters`` (name to condition
+    over entries) come on top of the built-in ones; a threshold of any other is an error.
     """
-    job = _LiveJob(as_of, out, checkpoint, rules, thresholds, delay, on_alert, parse_options)
+    job = _LiveJob(as_of, out, checkpoint, rules, thresholds, delay, on_alert, counters, parse_options)
     return (
         lines.writeStream.foreachBatch(job.run)
         .option("checkpointLocation", checkpoint)
@@ -65,10 +72,14 @@ def start_alerts(
 
 
 class _LiveJob:
-    def __init__(self, as_of, out, checkpoint, rules, thresholds, delay, on_alert, parse_options):
+    def __init__(self, as_of, out, checkpoint, rules, thresholds, delay, on_alert, counters, parse_options):
         self.as_of, self.out, self.state = as_of, out, f"{checkpoint}/carried"
         self.rules, self.thresholds = rules, tuple(thresholds or default_thresholds())
         self.delay, self.on_alert, self.parse_options = delay, on_alert, parse_options
+        self.counters = counter_flags() | (counters or {})
+        unknown = {r.counter for r in self.thresholds} - set(self.counters)
+        if unknown:
+            raise ValueError(f"no such counter: {sorted(unknown)}")
 
     def run(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -103,7 +114,7 @@ class _LiveJob:
         last = tail.groupBy("source").agg(F.max("line_no").alias("_last"))
         seq = F.coalesce("seq", F.monotonically_increasing_id()).alias("seq")
         return (
-            numbered_within(batch.select("line", "source", seq), ["source"], "_n")
+            numbered_within(batch.select("line", F.coalesce("source", F.lit("")).alias("source"), seq), ["source"], "_n")
             .join(last, "source", "left")
             .withColumn("line_no", F.col("_n") + F.coalesce("_last", F.lit(0)))
             .select("source", "line_no", "line")
@@ -113,10 +124,7 @@ class _LiveJob:
         schema = "counter string, ip string, ts timestamp_ntz, n bigint, first_seq bigint"
         before = self._carried(spark, "ticks", epoch, schema)
         known = self._carried(spark, "peaks", epoch, "counter string, ip string, window bigint, peak bigint")
-        seen = before.agg(F.max("ts")).first()[0]
-        fresh = ticks(entries)
-        if seen is not None:
-            fresh = fresh.where(F.col("ts") >= seen - self.delay)
+        fresh = ticks(entries, self.counters)
         recent = self._staged(
             before.unionByName(fresh).groupBy("counter", "ip", "ts")
             .agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq")),
@@ -151,10 +159,16 @@ class _LiveJob:
             .where(F.col("peak") >= F.element_at(lowest, F.col("counter")))
         )
         self._carry(merged, "peaks", epoch)
-        newest = recent.agg(F.max("ts")).first()[0]
-        kept = recent if newest is None else recent.where(F.col("ts") >= newest - self.delay - max(windows))
+        stand_in = F.col("ts") == F.lit(self.as_of).cast("timestamp_ntz")
+        read = recent.where(~stand_in).agg(F.percentile(wall_micros(F.col("ts")), 0.5, F.col("n")))
+        middle = read.first()[0]
+        if middle is None:
+            kept = recent
+        else:
+            span = (self.delay + max(windows)) // timedelta(microseconds=1)
+            kept = recent.where(stand_in | (wall_micros(F.col("ts")) >= middle - span))
         self._carry(kept, "ticks", epoch)
-        return alert_rows(entries, new, folder=f"{self.state}/work/alerting").withColumns(
+        return alert_rows(entries, new, self.counters, folder=f"{self.state}/work/alerting").withColumns(
             {"user": F.lit(None).cast("string"), "line_no": F.col("seq")}
         )
 

@@ -1,7 +1,7 @@
 """Following files that grow.
 
 Spark's file stream takes whole new files.  This Python source remembers a byte offset per
-file instead and reads what was appended since, up to the last line break.
+file instead and reads what was appended since, up to the last line break or the end.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ class _Piece(InputPartition):
 class TailSource(DataSource):
     """``spark.readStream.format("tail").load(path)``; the path may be a glob on storage all nodes see.
 
-    Option ``start``: ``beginning`` (default) or ``end``.  A file that got shorter is read again
-    from its beginning.  ``seq`` is the byte offset of the line.
+    Option ``start``: ``beginning`` (default) or ``end``.  Option ``unfinished``: with ``true`` a last
+    line without a line break is delivered too, as it stands.  A file that got shorter is read again
+    from its beginning; one that gets shorter between planning and reading fails the batch, which Spark
+    plans again.  ``seq`` is the byte offset of the line.
     """
 
     @classmethod
@@ -45,6 +47,7 @@ class _TailReader(DataSourceStreamReader):
         self._start = options.get("start", "beginning")
         if self._start not in ("beginning", "end"):
             raise ValueError("start has to be 'beginning' or 'end'")
+        self._unfinished = str(options.get("unfinished", "false")).lower() == "true"
 
     def _sizes(self):
         return {path: os.path.getsize(path) for path in sorted(glob.glob(self._pattern)) if os.path.isfile(path)}
@@ -55,7 +58,9 @@ class _TailReader(DataSourceStreamReader):
         return {path: _last_break(path, 0, size) for path, size in self._sizes().items()}
 
     def latestOffset(self):
-        """Each file's size, cut back to its last line break when read."""
+        """Each file's size, cut back to its last line break unless unfinished lines are wanted."""
+        if self._unfinished:
+            return self._sizes()
         return {path: _last_break(path, 0, size) for path, size in self._sizes().items()}
 
     def partitions(self, start, end):
@@ -66,8 +71,7 @@ class _TailReader(DataSourceStreamReader):
                 begin = 0
             # A large growth is cut at line breaks, so that several tasks share it.
             while begin < size:
-                stop = size if size - begin <= _CHUNK else _last_break(path, begin, begin + _CHUNK)
-                stop = size if stop <= begin else stop
+                stop = size if size - begin <= _CHUNK else _next_break(path, begin + _CHUNK, size)
                 pieces.append(_Piece(path, begin, stop))
                 begin = stop
         return pieces
@@ -79,7 +83,8 @@ class _TailReader(DataSourceStreamReader):
             while at < partition.end:
                 data = file.readline()
                 if not data:
-                    break
+                    raise OSError(f"{partition.path} became shorter while it was read")
+                data = data[: partition.end - at]
                 yield data.decode("utf-8", errors="replace").rstrip("\r\n"), partition.path, at
                 at += len(data)
 
@@ -98,7 +103,23 @@ def _last_break(path, start, end, block=65536):
     return start
 
 
-def tail_logs(spark: SparkSession, path: str, start: str = "beginning") -> DataFrame:
+def _next_break(path, start, end, block=65536):
+    """The offset after the first line break from ``start`` on, or ``end`` without one."""
+    with open(path, "rb") as file:
+        file.seek(start)
+        at = start
+        while at < end:
+            found = file.read(min(block, end - at))
+            if not found:
+                break
+            if b"\n" in found:
+                return at + found.index(b"\n") + 1
+            at += len(found)
+    return end
+
+
+def tail_logs(spark: SparkSession, path: str, start: str = "beginning", unfinished: bool = False) -> DataFrame:
     """Growing files as a stream of ``line, source, seq``."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("tail").option("start", start).load(path)
+    options = {"start": start, "unfinished": str(unfinished).lower()}
+    return spark.readStream.format("tail").options(**options).load(path)

@@ -6,11 +6,13 @@ input is used up, and returns what came out.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 import threatlog as tl
-from threatlog.session import scratch_folder
-from threatlog.streaming import live_counts, start_alerts, stream_alert_steps
+from threatlog.session import scratch_folder, staged
+from threatlog.streaming import ROCKSDB, live_counts, start_alerts, stream_alert_steps
 
 from .logs import AS_OF, YEAR, lines
 
@@ -20,12 +22,24 @@ def _log(spark, sf_dir):
     return lines(spark, sf_dir, "access").select("line", "source", "seq")
 
 
+#: Micro-batches that a log comes in.
+PARTS = 4
+
+
+def _in_parts(log, folder):
+    """Write the log as :data:`PARTS` files, by ``seq``, the earliest first; returns the stream that reads one at a time."""
+    spark, schema = log.sparkSession, log.schema
+    log = staged(log)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for n in range(PARTS):
+        part = log.where(F.floor(F.col("seq") * PARTS / (last + 1)) == n)
+        part.repartition(1).write.mode("append").parquet(folder)
+    return spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(folder)
+
+
 def _stream(spark, sf_dir):
-    """The access log as a stream of files."""
-    folder = scratch_folder(spark)
-    log = _log(spark, sf_dir)
-    log.write.parquet(folder)
-    return spark.readStream.schema(log.schema).parquet(folder)
+    """The access log as a stream of files, in several micro-batches."""
+    return _in_parts(_log(spark, sf_dir), scratch_folder(spark))
 
 
 def _entries(spark, sf_dir):
@@ -47,8 +61,21 @@ def stream_rule_hits(spark, sf_dir):
     return _run(spark, tl.rule_hits(_entries(spark, sf_dir))).select("seq", "rule_id")
 
 
+@contextmanager
+def _state_store(spark):
+    """The state store that keyed state needs, for the time of one query."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stream_alert_step_rows(spark, sf_dir):
-    steps = _run(spark, stream_alert_steps(_entries(spark, sf_dir)))
+    with _state_store(spark):
+        steps = _run(spark, stream_alert_steps(_entries(spark, sf_dir)))
     return steps.select(
         "rule_id", "ip", "alert_step", "count", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
     )

@@ -35,9 +35,9 @@ def _access(spark, sf_dir):
     return lines(spark, sf_dir, "access")
 
 
-def _entries(spark, sf_dir, kind="access"):
+def _entries(spark, sf_dir, kind="access", columns=None):
     tl.tune(spark)
-    return tl.parse_logs(lines(spark, sf_dir, kind), as_of=AS_OF, default_year=YEAR)
+    return tl.parse_logs(lines(spark, sf_dir, kind), as_of=AS_OF, default_year=YEAR, columns=columns)
 
 
 def _hits(spark, sf_dir):
@@ -204,37 +204,37 @@ def gate(spark, sf_dir):
 
 
 def top_ips(spark, sf_dir):
-    return tl.top_ips(_entries(spark, sf_dir))
+    return tl.top_ips(_entries(spark, sf_dir, columns=("ip",)))
 
 
 def top_paths(spark, sf_dir):
-    return tl.top_paths(_entries(spark, sf_dir))
+    return tl.top_paths(_entries(spark, sf_dir, columns=("path",)))
 
 
 def bar_shares(spark, sf_dir):
     from threatlog.operators.stats import counts_of
 
-    return tl.shares_of_maximum(counts_of(_entries(spark, sf_dir), "path")).select("path", "n", "percent")
+    return tl.shares_of_maximum(counts_of(_entries(spark, sf_dir, columns=("path",)), "path")).select("path", "n", "percent")
 
 
 def status_counts(spark, sf_dir):
-    return tl.status_counts(_entries(spark, sf_dir))
+    return tl.status_counts(_entries(spark, sf_dir, columns=("status",)))
 
 
 def timeline_hhmm(spark, sf_dir):
-    return tl.timeline(_entries(spark, sf_dir))
+    return tl.timeline(_entries(spark, sf_dir, columns=("ts",)))
 
 
 def timeline_minute(spark, sf_dir):
-    return tl.timeline(_entries(spark, sf_dir), by="minute")
+    return tl.timeline(_entries(spark, sf_dir, columns=("ts",)), by="minute")
 
 
 def timeline_stats(spark, sf_dir):
-    return tl.timeline_stats(tl.timeline(_entries(spark, sf_dir)))
+    return tl.timeline_stats(tl.timeline(_entries(spark, sf_dir, columns=("ts",))))
 
 
 def distinct_counts(spark, sf_dir):
-    return tl.distinct_counts(_entries(spark, sf_dir))
+    return tl.distinct_counts(_entries(spark, sf_dir, columns=("ip", "path")))
 
 
 def summary_report(spark, sf_dir):
