@@ -35,7 +35,7 @@ SKETCH = 48
 #: Chance at most that a pair at the threshold shares fewer than c of its retained values.
 MISSED = 1e-8
 #: Members of a tile's side, and values of the wider sketches that a tile compares: with smaller sets it decides.
-TILE, WIDE = 256, 1024
+TILE, WIDE = 1024, 1024
 CACHED = 600_000
 
 
