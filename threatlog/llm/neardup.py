@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .bytelevel import BoundedCache
 from .components import components
+from .texts import slices
 
 SKETCH = 48
 #: Chance at most that a pair at the threshold shares fewer than c of its retained values.
 MISSED = 1e-8
 #: Members of a tile's side, and values of the wider sketches that a tile compares: with smaller sets it decides.
 TILE, WIDE = 1024, 1024
-CACHED = 600_000
+#: Words whose hash a worker keeps.
+CACHED = 200_000
 
 
 def least_overlap(k: int, similarity: float, missed: float = MISSED) -> int:
@@ -96,7 +98,7 @@ def sketches(docs: DataFrame, words: int, k: int, id_col="doc_id", text_col="tex
         import xxhash
 
         value_of = _value_of()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, kept = [], [], []
             for text in batch.column(1):
                 values = shingle_values(text.as_py(), words, value_of)
@@ -123,7 +125,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col="doc_id", text
         import xxhash
 
         value_of = _value_of()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_values(text.as_py(), words, value_of).tobytes() for text in batch.column(0)]
             keys = [xxhash.xxh3_128_digest(x) for x in sets]
             # A repeated id may have another text too.
@@ -182,7 +184,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)

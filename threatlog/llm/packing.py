@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import BoundedCache, Cutter, kept_in_worker, spelled, vocabulary
+from .texts import slices
 
 CAPACITY = 4096
 #: Longest piece of what is left of a document: at a quarter of a window, differencing levels them well.
 PIECE = 1024
 #: Documents that are packed together, on average; bounds the task's memory and its k.
 GROUP = 1000
-CACHED = 1_000_000
+#: Chunks, and a quarter as many pre-tokens, that a worker keeps encoded (about 50 MB).
+CACHED = 200_000
 
 _PIECES = "array<struct<start: bigint, length: int, crc: bigint>>"
 
@@ -128,7 +130,7 @@ def pack(
 
         tokens = kept_in_worker(("pack", path), lambda: Tokens(path))
         row = pa.struct([("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches, 1024):
             pieces, sizes = [], []
             for text in batch.column(1):
                 ids = tokens.encode(text.as_py() or "", end_id)

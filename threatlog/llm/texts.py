@@ -13,6 +13,16 @@ def free_name(name: str, taken) -> str:
     return name
 
 
+def slices(batches, rows: int = 256):
+    """Batches in short slices, so that what is made of few texts is held at a time; unused buffers are given back."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def with_text_columns(docs: DataFrame, maker, fields: dict, text_col="text", keep=("doc_id",)) -> DataFrame:
     """The columns of ``keep`` and the new ``fields`` (name to type), made a batch of texts at a time.
 

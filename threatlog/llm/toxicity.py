@@ -25,7 +25,8 @@ TRAINING = 12_000
 #: Features per category, and the fewest documents of the sample that hold one.
 FEATURES, FEWEST = 1000, 8
 FOLDS = 3
-CACHED = 600_000
+#: Words whose features a worker keeps.
+CACHED = 200_000
 
 _WORDS, _WORD = re.compile(r"[^\W\d_]+").findall, re.compile(r"[^\W\d_]").search
 
