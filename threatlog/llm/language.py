@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import kept_in_worker
-from .texts import with_text_columns
+from .texts import bounded_batches, with_text_columns
 
 #: N-grams of a profile, and their longest length.
 PROFILE, LONGEST = 300, 3
@@ -76,6 +76,7 @@ def learn_profiles(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="
     Rows with a null language or text teach nothing.  Of each language about ``training`` documents are
     taken by a hash of their text (all, if there are fewer); their whole texts are counted.
     """
+    bounded_batches(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where("lang is not null and text is not null")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()

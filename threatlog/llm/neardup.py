@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .bytelevel import BoundedCache
 from .components import components
-from .texts import slices
+from .texts import bounded_batches, slices
 
 SKETCH = 48
 #: Chance at most that a pair at the threshold shares fewer than c of its retained values.
@@ -348,6 +348,7 @@ def near_duplicates(docs: DataFrame, words=5, percent=80, k=SKETCH, id_col="doc_
     Null and empty texts have no shingle and no link.  Rows with the same id are one document, with the
     links of each of its texts.  A row with a null id is linked with nothing: its component is null, and it is kept.
     """
+    bounded_batches(docs.sparkSession)
     similarity = percent / 100
     rows = staged(sketches(docs, words, k, id_col, text_col))
     linked = rows.where("n_shingles > 0 and id is not null")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch of texts, of which the JVM and a worker hold a few copies each.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def free_name(name: str, taken) -> str:
     """``name``, with underscores before it until it is none of ``taken``."""
@@ -13,6 +17,13 @@ def free_name(name: str, taken) -> str:
     return name
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for the bytes of an Arrow batch to ``BATCH_BYTES``; Spark's own counts rows, however long
+    they are.  A lower limit of the session stays."""
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(batches, rows: int = 256):
     """Batches in short slices, so that what is made of few texts is held at a time; unused buffers are given back."""
     import pyarrow as pa
@@ -29,6 +40,7 @@ def with_text_columns(docs: DataFrame, maker, fields: dict, text_col="text", kee
     ``maker()`` runs once per task; what it returns takes an Arrow array of texts and returns one array
     per field.  Columns go by place, so no name of ``docs`` can be in the way; the text crosses once.
     """
+    bounded_batches(docs.sparkSession)
     names, kept = list(fields), [c for c in keep if c != text_col]
     schema = {c: docs.schema[c].dataType.simpleString() for c in (*kept, text_col)}
 
