@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import BoundedCache, Cutter, kept_in_worker, spelled, vocabulary
-from .texts import slices
+from .texts import bounded_batches, slices
 
 CAPACITY = 4096
 #: Longest piece of what is left of a document: at a quarter of a window, differencing levels them well.
@@ -37,6 +37,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.cutter = Cutter(path)
+        # The library has the model.
+        self.cutter.model = None
         model = Tokenizer.from_file(path).model
         self._short = BoundedCache(lambda x: array("I", [t.id for t in model.tokenize(spelled(x))]).tobytes(), CACHED // 4)
         self._ids = BoundedCache(self._chunk, CACHED)
@@ -121,6 +123,7 @@ def pack(
     id is packed too.  Other columns are not read.  Texts are read once and not shuffled: only the
     lengths of pieces go to the groups, which are dealt by a hash of the whole row, not of a key.
     """
+    bounded_batches(docs.sparkSession)
     path = path or vocabulary("word_bpe_49k.json")
     groups = max(1, -(-docs.count() // GROUP))
     kind = docs.schema[id_col].dataType.simpleString()
