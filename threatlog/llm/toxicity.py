@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .bytelevel import BoundedCache
-from .texts import with_text_columns
+from .texts import bounded_batches, with_text_columns
 
 #: Labelled documents, expected number, on which the chain is fitted; chosen by a hash of id and text.
 TRAINING = 12_000
@@ -106,7 +106,7 @@ def learn_chain(docs: DataFrame, labels: DataFrame, categories: tuple, id_col="d
     ``categories`` are boolean columns of ``labels`` in the order of the chain.  Documents without a
     label, null labels, null texts, and all but the first of several labels of a document teach nothing.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     whole = [F.col(c).isNotNull() for c in categories]
     marks = [F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]
     known = labels.select(F.col(id_col).alias("id"), *marks, *[w.alias(f"w{i}") for i, w in enumerate(whole)])
@@ -160,7 +160,8 @@ def learn_chain(docs: DataFrame, labels: DataFrame, categories: tuple, id_col="d
         import pyarrow as pa
 
         y = np.array(table.column("y").to_pylist())
-        chain = fit_chain(table.column("features").to_pylist(), y, table.column("fold").to_numpy(), len(categories), width)
+        features = [x.values.to_numpy() for x in table.column("features")]
+        chain = fit_chain(features, y, table.column("fold").to_numpy(), len(categories), width)
         return pa.table({"category": pa.array(range(len(categories)), pa.int32()), "weights": [w.tolist() for w in chain]})
 
     # One task fits the chain: the sample is bounded, whatever the input.
