@@ -13,6 +13,7 @@ from threatlog.llm.language import UNKNOWN, learn_profiles, predict_languages
 from threatlog.llm.neardup import near_duplicates
 from threatlog.llm.packing import pack
 from threatlog.llm.pii import redacted
+from threatlog.llm.texts import free_name, with_mark
 from threatlog.llm.toxicity import without_toxic
 from threatlog.session import staged
 
@@ -39,8 +40,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows with a null id stay.  Of several rows with one id that stays, that with the smallest hash does.
     """
     flags = staged(near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"))
-    gone = flags.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = staged(flags.where("not kept").select("doc_id").distinct())
+    # Documents that surely stay are not shuffled.
+    mark = free_name("may_go", docs.columns)
+    marked = with_mark(docs, "doc_id", gone, mark)
+    left = marked.where(~F.col(mark)).union(marked.where(F.col(mark)).join(gone, "doc_id", "left_anti").select(*docs.columns, mark))
+    left = left.select(*docs.columns)
     several = staged(flags.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if several.isEmpty():
         return left

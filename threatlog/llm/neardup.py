@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .bytelevel import BoundedCache
 from .components import components
-from .texts import bounded_batches, slices
+from .texts import bounded_batches, slices, with_mark
 
 SKETCH = 48
 #: Chance at most that a pair at the threshold shares fewer than c of its retained values.
@@ -134,7 +134,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col="doc_id", text
             columns = [pa.array(x, pa.binary()).filter(pa.array(wanted, pa.bool_())) for x in (keys, sets)]
             yield pa.RecordBatch.from_arrays(columns, ["set_key", "values"])
 
-    texts = _texts(docs, id_col, text_col).join(ids, "id").select("text", "set_key")
+    texts = with_mark(_texts(docs, id_col, text_col), "id", ids, "wanted").where("wanted")
+    texts = texts.join(ids, "id").select("text", "set_key")
     return texts.mapInArrow(run, "set_key binary, values binary").dropDuplicates(["set_key"])
 
 
@@ -267,7 +268,8 @@ def _tiled_pairs(prefixes, roots, classes, wider, k: int, percent: int) -> DataF
     tiles = tiles.select("value", "rep", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     order = prefixes.select("rep", F.transform("prefix", lambda x: x["value"]).alias("prefix"))
     members = classes.join(rows.select("rep").distinct(), "rep", "left_semi")
-    members = members.join(order, "rep").join(wider(members.select(F.col("rep").alias("id"), "set_key")), "set_key")
+    ids = staged(members.select(F.col("rep").alias("id"), "set_key"))
+    members = members.join(order, "rep").join(wider(ids), "set_key")
     tiles = tiles.join(members.select("rep", "set_key", "n_shingles", "sketch", "prefix", "values"), "rep")
     dealt = tiles.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
@@ -368,7 +370,7 @@ def near_duplicates(docs: DataFrame, words=5, percent=80, k=SKETCH, id_col="doc_
             wider = lambda ids: full_sets(docs, ids, words, id_col, text_col, WIDE)
             pairs = staged(_tiled_pairs(prefixes, known, classes, wider, k, percent))
         wanted = pairs.select(F.col("a").alias("id"), F.col("key_a").alias("set_key"))
-        wanted = wanted.union(pairs.select("b", "key_b")).distinct()
+        wanted = staged(wanted.union(pairs.select("b", "key_b")).distinct())
         sets = staged(full_sets(docs, wanted, words, id_col, text_col))
         links = staged(links.union(_verified(pairs, sets, percent)))
         known = components(links)

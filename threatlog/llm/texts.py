@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch of texts, of which the JVM and a worker hold a few copies each.
 BATCH_BYTES = 4 << 20
+#: Words of 64 bits of a table of marks: bounds what is broadcast, whatever the input.
+MARKS = 1 << 18
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -24,6 +26,27 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def _place(key: str) -> tuple[Column, Column]:
+    """Word and bit of a key in a table of marks."""
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(MARKS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+
+
+def with_mark(rows: DataFrame, key: str, keys: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with a boolean ``mark``: false if ``key`` is surely not in the column of that name of ``keys``.
+
+    So that of wide rows only those that may have a partner are shuffled to join them with ``keys``, which may be
+    many.  The marks, one bit per hash of a key, are broadcast: at most ``MARKS`` rows of two numbers.
+    """
+    word, bit = _place(key)
+    w, b, bits = (free_name(x, rows.columns) for x in ("_word", "_bit", "_bits"))
+    ones = F.bit_or(F.expr(f"shiftleft(1L, {b})")).alias(bits)
+    marks = keys.select(word.alias(w), bit.alias(b)).groupBy(w).agg(ones)
+    placed = rows.withColumns({w: word, b: bit}).join(F.broadcast(marks), w, "left")
+    known = F.coalesce(F.bit_get(bits, F.col(b)) == 1, F.lit(False))
+    return placed.withColumn(mark, known).select(*rows.columns, mark)
+
+
 def slices(batches, rows: int = 256):
     """Batches in short slices, so that what is made of few texts is held at a time; unused buffers are given back."""
     import pyarrow as pa
