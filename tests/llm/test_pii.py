@@ -103,3 +103,22 @@ def test_redaction(docs, odd, none):
     assert redacted(none).count() == 0
     plan = span_digests(docs([(1, "a@b.c")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_identifiers_with_blanks_are_whole_instances(docs):
+    make = random.Random(4)
+    word = lambda: "".join(make.choice("abcdefghij") for _ in range(6))
+    digits = lambda n: f"{make.randrange(10**n):0{n}d}"
+    pairs = [(i, f"{word()} {word()} ring me on +1 ({digits(3)}) {digits(3)}-{digits(4)} {word()}") for i in range(30)]
+    unseen = {100: "020 7946 0958", 101: "(743) 555-3824", 102: "5551234567"}
+    pairs += [(i, f"so ring me on {x}, {word()}") for i, x in unseen.items()]
+    pairs += [(200, "ring me on +1 (743) 555-3824 and ring me on (743) 555-9999. 1.2.3.4 8888")]
+    found = {r["id"]: r for r in personal_data(docs(pairs)).collect()}
+    for i, x in unseen.items():
+        assert [tuple(y) for y in found[i]["added"]] == [(3, 14, 14 + len(x))]
+    text = dict(pairs)[200]
+    assert [text[x["s"]:x["e"]] for x in found[200]["added"]] == ["(743) 555-9999"]
+    assert all(not found[i]["added"] for i in range(30))
+    # One phone, however often, is no support.
+    same = [(i, f"{word()} ring me on +1 (743) 555-3824 {word()}") for i in range(30)] + [(100, "ring me on 020 7946 0958")]
+    assert all(not r["added"] for r in personal_data(docs(same)).collect())

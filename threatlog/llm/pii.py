@@ -1,7 +1,8 @@
 """Personal data: four base kinds by pattern, and bootstrapped contextual extraction; DataFrame functions only.
 
-The base spans seed the method.  Each token that looks like an identifier (it holds a digit or @) is an
-instance in the contexts before it: its two words, and its one word, to the left.  A context is a pattern
+The base spans seed the method: the instance of a seed is its whole span.  Other instances are tokens that
+look like an identifier (they hold a digit or @), and runs of tokens of digits and punctuation, joined by
+single blanks.  Each is in the contexts before it: its two words, and its one word, to the left.  A context is a pattern
 for a kind; its confidence is the mean score of the distinct instances it holds, a seed of the kind
 counting as one.  An instance's score is that of being right in at least one of its patterns.  Both are
 scored in turn over the pattern-instance graph, and tokens that confident patterns agree on are new spans.
@@ -23,6 +24,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 #: Characters before a token that are looked at for its context.
 CONTEXT = 64
+#: A run of more digits is no single identifier, only its tokens are; a token of so many digits can be one in any run.
+LONGEST, ALONE = 19, 8
 #: Matches that are placed in one go; see :func:`_places`.
 CHUNK = 256
 
@@ -33,7 +36,13 @@ _EMAIL = rf"(?:\G|(?<![{_MARK}{_LOCAL}]))[{_MARK}{_LOCAL}]++@[{_LABEL}]++{_MARK}
 _IP = r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 _CARD = rf"[0-9][0-9{_MARK}]*[0-9]"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_TOKEN = r"(?<!\S)\S*[0-9@]\S*"
+#: A single blank within a run, which the mark then stands for.
+_JOINT = r"(?<=[0-9]|\([0-9]{1,6}\)|[0-9] [/-]) (?=[0-9]|\([0-9]{1,6}\)|[/-] [0-9])"
+#: A run without letters, or one token; its first token holds a digit or @.
+_UNIT = (
+    rf"(?<![^\s{_MARK}])(?=[^\s{_MARK}0-9@]*+[0-9@])"
+    rf"(?:[^\s\p{{L}}@]*[^\s\p{{L}}@{_MARK}](?![^\s{_MARK}])|[^\s{_MARK}]++)"
+)
 
 _PLACES = "array<struct<s: int, e: int, m: string>>"
 
@@ -120,28 +129,128 @@ def base_spans(docs: DataFrame, text_col="text") -> DataFrame:
 
 
 def _occurrences(df: DataFrame) -> DataFrame:
-    """Adds ``tokens``: place, text and left context of each token with a digit or @; needs :func:`base_spans`."""
-    df = _places(df, "_text", _TOKEN, F.col("_digit"), "_t")
-    before = F.transform("_g", lambda g: F.lower(F.right(g, F.lit(CONTEXT))))
+    """Adds ``tokens``: place, text and left context of each run or token with a digit or @; needs :func:`base_spans`."""
+    joined = F.regexp_replace(F.translate("_text", _MARK, _OTHER), _JOINT, _MARK)
+    df = df.withColumn("_unit", F.when(F.col("_digit"), joined))
+    df = _places(df, "_unit", _UNIT, F.col("_digit"), "_t")
+    before = F.transform("_g", lambda g: F.translate(F.right(g, F.lit(CONTEXT)), _MARK, " "))
     joined = F.zip_with(
         "_t", F.slice(before, F.lit(1), F.size("_t")),
-        lambda t, g: F.struct(
-            t["s"].alias("s"), t["e"].alias("e"), t["m"].alias("m"),
-            F.regexp_extract(g, r"(\S+)\s+\S+\s*$", 1).alias("left2"), F.regexp_extract(g, r"(\S+)\s*$", 1).alias("left1"),
-        ),
+        lambda t, g: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.translate(t["m"], _MARK, " ").alias("m"), g.alias("left")),
     )
-    return df.withColumn("tokens", F.when(F.size("_t") > 0, joined)).drop("_t", "_g")
+    return df.withColumn("tokens", F.when(F.size("_t") > 0, joined)).drop("_t", "_g", "_unit")
+
+
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9]", "")
+
+
+def _instance(text: Column, kind: Column) -> Column:
+    """What makes two spans one identifier: for cards and phones their digits, for others without letters all but blanks, brackets, + and -."""
+    plain = F.when(text.rlike(r"[\p{L}@]"), text).otherwise(F.regexp_replace(text, "[ ()+-]", ""))
+    return F.when(F.coalesce(kind >= KINDS.index("card"), F.lit(False)), _digits(text)).otherwise(plain)
 
 
-def _bare(token: Column) -> Column:
-    """A token without punctuation at its ends."""
-    return F.regexp_replace(token, r"^[(\[{<\"']+|[)\]}>\"'.,;:!?]+$", "")
+def _bare(df: DataFrame) -> DataFrame:
+    """``s``, ``e`` and ``m`` without punctuation at the ends; brackets around the first or last digits of several stay."""
+    head, tail = r"[(\[{<\"']", r"[)\]}>\"'.,;:!?]"
+    size = F.length("m")
+    lead = size - F.length(F.regexp_replace("m", rf"^{head}+", "")) - F.col("m").rlike(rf"^{head}*\([0-9]+\)[ -]?[0-9(]").cast("int")
+    rest = size - F.length(F.regexp_replace("m", rf"(?<!{tail}){tail}++$", "")) - F.col("m").rlike(rf"[0-9 -]\([0-9]+\){tail}*$").cast("int")
+    df = df.withColumns({"_lead": lead, "_rest": rest}).where(F.col("_lead") + F.col("_rest") < size)
+    cut = F.substring(F.col("m"), F.col("_lead") + 1, size - F.col("_lead") - F.col("_rest"))
+    return df.withColumns({"s": F.col("s") + F.col("_lead"), "e": F.col("e") - F.col("_rest"), "m": cut}).drop("_lead", "_rest")
+
+
+def _readings(df: DataFrame) -> DataFrame:
+    """Rows ``s``, ``m``, ``left`` of runs made the identifiers they can be: the run, and tokens of it that are long enough."""
+    df = _places(df, "m", r"(?<!\S)\S++", F.contains("m", F.lit(" ")), "_words").drop("_g")
+    words, none = F.transform("_words", lambda x: x["m"]), F.lit(None).cast("string")
+    df = df.withColumns({"_p": F.concat(F.array(none), words), "_q": F.concat(F.array(none, none), words)})
+    each = F.filter(F.arrays_zip(F.col("_words").alias("w"), F.col("_p").alias("p"), F.col("_q").alias("q")), lambda x: x["w"].isNotNull())
+    read = lambda at, m, left: F.struct(at.alias("s"), m.alias("m"), F.right(left, F.lit(CONTEXT)).alias("left"))
+    blank = F.lit(" ")
+    each = F.transform(
+        each,
+        lambda x: read(
+            F.col("s") + x["w"]["s"], x["w"]["m"],
+            F.when(x["p"].isNull(), F.col("left")).when(x["q"].isNull(), F.concat("left", x["p"], blank))
+            .otherwise(F.concat(blank, x["q"], blank, x["p"], blank)),
+        ),
+    )
+    df = df.withColumns({"_each": each, "_n": F.length(_digits(F.col("m")))})
+    run = F.array(read(F.col("s"), F.col("m"), F.col("left")))
+    long = F.filter("_each", lambda x: F.length(_digits(x["m"])) >= ALONE)
+    readings = F.when(F.size("_words") == 0, run).when(F.col("_n") <= LONGEST, F.concat(run, long)).otherwise(F.col("_each"))
+    return df.select("id", "text_hash", F.explode(readings).alias("r")).select("id", "text_hash", "r.*").where(F.col("m").rlike("[0-9@]"))
+
+
+def _instances(table: DataFrame) -> DataFrame:
+    """``id``, ``text_hash``, ``seed``, ``instance``, ``s``, ``e``, ``patterns``: seeds, and what else can be an identifier (``seed`` is null)."""
+    units = table.where("size(tokens) > 0").select("id", "text_hash", "seeds", F.explode("tokens").alias("t"))
+    near = F.filter("seeds", lambda b: (b["s"] < F.col("t.e")) & (b["e"] > F.col("t.s")))
+    near = F.transform(near, lambda b: F.struct(b["s"].alias("s"), (-b["e"]).alias("back"), b["kind"].alias("kind"), b["m"].alias("m")))
+    units = units.select("id", "text_hash", F.sort_array(near).alias("near"), "t.*")
+    touched, free = units.where("size(near) > 0"), units.where("size(near) = 0").select("id", "text_hash", "s", "m", "left")
+    # A span that overlaps the one before it is no identifier by itself, and one that began earlier has its instance there.
+    ends = F.concat(F.array(F.lit(0)), F.transform("near", lambda x: -x["back"]))
+    first = F.filter(
+        F.arrays_zip(F.col("near").alias("x"), ends.alias("before")),
+        lambda y: (y["x"]["s"] >= F.col("s")) & (y["x"]["s"] >= y["before"]),
+    )
+    first = F.transform(first, lambda y: y["x"])
+    unit = F.when(F.contains("m", F.lit(" ")), F.col("m")).otherwise("")
+    seeds = touched.select("id", "text_hash", F.explode(first).alias("x"), F.col("s").alias("from"), unit.alias("unit"), "left")
+    prefix = F.regexp_replace(F.substring(F.col("unit"), F.lit(1), F.col("x.s") - F.col("from")), r"\S++$", "")
+    seeds = seeds.select(
+        "id", "text_hash", F.col("x.kind").alias("seed"), _instance(F.col("x.m"), F.col("x.kind")).alias("instance"),
+        F.col("x.s").alias("s"), (-F.col("x.back")).alias("e"), F.right(F.concat("left", prefix), F.lit(CONTEXT)).alias("left"),
+    )
+    # Of a run that holds spans, the whole tokens between them.
+    gaps = F.arrays_zip(
+        F.concat(F.array("s"), F.transform("near", lambda x: -x["back"])).alias("s"),
+        F.concat(F.transform("near", lambda x: x["s"]), F.array("e")).alias("e"),
+    )
+    gaps = F.filter(gaps, lambda x: x["e"] > x["s"])
+    rest = touched.where(F.contains("m", F.lit(" "))).select("*", F.explode(gaps).alias("g"))
+    piece = F.substring(F.col("m"), F.col("g.s") - F.col("s") + 1, F.col("g.e") - F.col("g.s"))
+    piece = F.when(F.col("g.e") < F.col("e"), F.regexp_replace(piece, r"(?<!\S)\S++$", "")).otherwise(piece)
+    rest = rest.withColumn("piece", piece)
+    cut = F.regexp_replace("piece", r"^\S+", "")
+    cut = F.regexp_replace(F.when(F.col("g.s") > F.col("s"), cut).otherwise(F.col("piece")), "^ +", "")
+    rest = rest.withColumn("cut", cut)
+    at = F.col("g.s") + F.length("piece") - F.length("cut")
+    within = F.exists("near", lambda x: (x["s"] < at + F.length("cut")) & (-x["back"] > at))
+    rest = rest.where(F.col("cut").rlike("[0-9@]") & ~within).select(
+        "id", "text_hash", at.alias("s"), F.rtrim("cut").alias("m"),
+        F.right(F.concat("left", F.substring(F.col("m"), F.lit(1), at - F.col("s"))), F.lit(CONTEXT)).alias("left"),
+    )
+    other = _readings(free.union(rest))
+    other = _bare(other.withColumn("e", F.col("s") + F.length("m")))
+    other = other.select(
+        "id", "text_hash", F.lit(None).cast("int").alias("seed"), _instance(F.col("m"), F.lit(None).cast("int")).alias("instance"), "s", "e", "left"
+    )
+    found = seeds.union(other).where("instance <> ''").withColumn("left", F.lower("left"))
+    found = found.withColumns(
+        {"left2": F.regexp_extract("left", r"(\S+)\s+\S+\s*$", 1), "left1": F.regexp_extract("left", r"(\S+)\s*$", 1)}
+    )
+    patterns = F.array_compact(
+        F.array(
+            F.when(F.col("left2") != "", F.concat(F.lit("2 "), "left2", F.lit(" "), "left1")),
+            F.when(F.col("left1") != "", F.concat(F.lit("1 "), "left1")),
+        )
+    )
+    return found.select("id", "text_hash", "seed", "instance", "s", "e", patterns.alias("patterns"))
 
 
 def _span_of(kind: int):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
 
 
+def _seed_of(kind: int):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+
+
 def personal_data(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``id``, ``text_hash``, ``base`` and ``added``: spans (kind number, s, e), by kind, then start; one row per document and text.
 
@@ -151,7 +260,8 @@ def personal_data(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = _occurrences(base_spans(rows))
     spans = F.concat(*[F.transform(kind, _span_of(k)) for k, kind in enumerate(KINDS)])
-    table = found.select("id", F.xxhash64("_text").alias("text_hash"), spans.alias("base"), "tokens")
+    seeds = F.concat(*[F.transform(kind, _seed_of(k)) for k, kind in enumerate(KINDS)])
+    table = found.select("id", F.xxhash64("_text").alias("text_hash"), spans.alias("base"), seeds.alias("seeds"), "tokens")
     table = staged(table)
     added = _discovered(table)
     held = table.select("id", "text_hash", "base")
@@ -165,23 +275,7 @@ def personal_data(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
 
 def _discovered(table: DataFrame) -> DataFrame | None:
     """``id``, ``text_hash``, ``kind``, ``s``, ``e`` of the spans that confident patterns add; None if no pattern has support."""
-    tokens = table.where("size(tokens) > 0").select("id", "text_hash", "base", F.explode("tokens").alias("t"))
-    starts = F.filter("base", lambda b: (b["s"] >= F.col("t.s")) & (b["s"] < F.col("t.e")))
-    inside = F.exists("base", lambda b: (b["s"] < F.col("t.e")) & (b["e"] > F.col("t.s")))
-    lead = F.length("t.m") - F.length(F.regexp_replace("t.m", r"^[(\[{<\"']+", ""))
-    tokens = tokens.select(
-        "id", "text_hash", F.get(starts, F.lit(0))["kind"].alias("seed"), inside.alias("inside"),
-        _bare(F.col("t.m")).alias("instance"), (F.col("t.s") + lead).alias("s"),
-        F.array_compact(
-            F.array(
-                F.when(F.col("t.left2") != "", F.concat(F.lit("2 "), "t.left2", F.lit(" "), "t.left1")),
-                F.when(F.col("t.left1") != "", F.concat(F.lit("1 "), "t.left1")),
-            )
-        ).alias("patterns"),
-    )
-    # A later token of a span that began before is part of that span.
-    tokens = tokens.where("seed is not null or not inside").where("instance <> ''")
-    places = tokens.select("id", "text_hash", "seed", "instance", "s", F.explode("patterns").alias("pattern"))
+    places = staged(_instances(table).withColumn("pattern", F.explode("patterns")).drop("patterns"))
     edges = places.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     enough = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     enough = staged(enough.select("pattern").distinct())
@@ -203,10 +297,10 @@ def _discovered(table: DataFrame) -> DataFrame | None:
         scores = staged(seen.union(new).groupBy("instance", "kind").agg(F.max("score").alias("score")))
     # An identifier has at least four digits or an @; of two kinds the better one.
     good = scores.where(F.col("score") >= CONFIDENCE).groupBy("instance").agg(F.max(F.struct("score", -F.col("kind"), "kind"))["kind"].alias("kind"))
-    looks = (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= 4) | F.contains("instance", F.lit("@"))
+    looks = (F.length(_digits(F.col("instance"))) >= 4) | F.contains("instance", F.lit("@"))
     places = places.where("seed is null").where(looks)
     out = places.join(confidence.select("pattern", "kind"), "pattern").join(good, ["instance", "kind"])
-    return out.select("id", "text_hash", "kind", "s", (F.col("s") + F.length("instance")).alias("e")).distinct()
+    return out.select("id", "text_hash", "kind", "s", "e").distinct()
 
 
 def span_text(spans: Column) -> Column:
