@@ -122,3 +122,13 @@ def test_identifiers_with_blanks_are_whole_instances(docs):
     # One phone, however often, is no support.
     same = [(i, f"{word()} ring me on +1 (743) 555-3824 {word()}") for i in range(30)] + [(100, "ring me on 020 7946 0958")]
     assert all(not r["added"] for r in personal_data(docs(same)).collect())
+
+
+def test_contexts_reach_over_numbers(docs):
+    make = random.Random(7)
+    pairs = [
+        (i, f"2024-01-{make.randrange(1, 29):02d} user{make.randrange(100)} +1743{make.randrange(10**7):07d} ok") for i in range(30)
+    ]
+    pairs.append((100, "2024-05-09 user12 tel02079460958 ok"))
+    found = {r["id"]: [tuple(x) for x in r["added"]] for r in personal_data(docs(pairs)).collect()}
+    assert found.pop(100) == [(3, 18, 32)] and not any(found.values())

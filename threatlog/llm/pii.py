@@ -2,7 +2,8 @@
 
 The base spans seed the method: the instance of a seed is its whole span.  Other instances are tokens that
 look like an identifier (they hold a digit or @), and runs of tokens of digits and punctuation, joined by
-single blanks.  Each is in the contexts before it: its two words, and its one word, to the left.  A context is a pattern
+single blanks.  Each is in the contexts before it: its two words, and its one word, to the left, with each
+number in them as 0.  A context is a pattern
 for a kind; its confidence is the mean score of the distinct instances it holds, a seed of the kind
 counting as one.  An instance's score is that of being right in at least one of its patterns.  Both are
 scored in turn over the pattern-instance graph, and tokens that confident patterns agree on are new spans.
@@ -133,10 +134,21 @@ def _occurrences(df: DataFrame) -> DataFrame:
     joined = F.regexp_replace(F.translate("_text", _MARK, _OTHER), _JOINT, _MARK)
     df = df.withColumn("_unit", F.when(F.col("_digit"), joined))
     df = _places(df, "_unit", _UNIT, F.col("_digit"), "_t")
-    before = F.transform("_g", lambda g: F.translate(F.right(g, F.lit(CONTEXT)), _MARK, " "))
-    joined = F.zip_with(
-        "_t", F.slice(before, F.lit(1), F.size("_t")),
-        lambda t, g: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.translate(t["m"], _MARK, " ").alias("m"), g.alias("left")),
+    # The text before a token: what is between, the token before, and once more, as two words need no more.
+    plain = lambda x: F.translate(x, _MARK, " ")
+    gap = F.transform(F.slice("_g", F.lit(1), F.size("_t")), lambda g: plain(F.right(g, F.lit(CONTEXT))))
+    word = F.transform("_t", lambda t: plain(F.right(t["m"], F.lit(CONTEXT))))
+    none = F.lit("")
+    zipped = F.arrays_zip(
+        F.col("_t").alias("t"), F.concat(F.array(none, none), word).alias("m2"), F.concat(F.array(none), gap).alias("g1"),
+        F.concat(F.array(none), word).alias("m1"), gap.alias("g"),
+    )
+    joined = F.transform(
+        F.filter(zipped, lambda x: x["t"].isNotNull()),
+        lambda x: F.struct(
+            x["t"]["s"].alias("s"), x["t"]["e"].alias("e"), plain(x["t"]["m"]).alias("m"),
+            F.right(F.concat(x["m2"], x["g1"], x["m1"], x["g"]), F.lit(CONTEXT)).alias("left"),
+        ),
     )
     return df.withColumn("tokens", F.when(F.size("_t") > 0, joined)).drop("_t", "_g", "_unit")
 
@@ -230,7 +242,7 @@ def _instances(table: DataFrame) -> DataFrame:
     other = other.select(
         "id", "text_hash", F.lit(None).cast("int").alias("seed"), _instance(F.col("m"), F.lit(None).cast("int")).alias("instance"), "s", "e", "left"
     )
-    found = seeds.union(other).where("instance <> ''").withColumn("left", F.lower("left"))
+    found = seeds.union(other).where("instance <> ''").withColumn("left", F.regexp_replace(F.lower("left"), "[0-9]+", "0"))
     found = found.withColumns(
         {"left2": F.regexp_extract("left", r"(\S+)\s+\S+\s*$", 1), "left1": F.regexp_extract("left", r"(\S+)\s*$", 1)}
     )
