@@ -12,6 +12,7 @@ from .language import learn_profiles, predict_languages
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import span_digests
+from .rank_bpe import encoding_digests
 from .sql import ORACLES
 from .token_counts import count_tokens
 from .topk import top_k
@@ -68,6 +69,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(_table(spark, sf_dir, "documents"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +82,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_language, op2_toxicity, op3_minhash, op4_topk, op5_bpe, op6_warc, op7_pii, op8_token_counts, op9_packing,
-        op10_near_vectors,
+        op10_near_vectors, op11_rank_bpe,
     )
     return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 
