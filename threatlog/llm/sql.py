@@ -81,3 +81,59 @@ FROM embeddings e LEFT JOIN degree ON a = e.vec_id JOIN component ON component.i
 """
 
 ORACLES = {"op3_minhash": MINHASH, "op4_topk": TOPK, "op6_warc": WARC, "op10_near_vectors": NEAR_VECTORS}
+
+
+def _manifest(inner: int = 5, upper: int = 3) -> str:
+    """The manifest of documents, for at most 16**inner documents a source and 16**upper sources."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(text):
+        parts = [text if f == "text" else f for f in fields]
+        return "sha256(" + " || ".join(f"coalesce(strlen({p}::VARCHAR)::VARCHAR || ':' || {p}::VARCHAR, '-')" for p in parts) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # The bits of a byte, one after the other; digits and the minus sign are single bytes.
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, 3988292384 * (x % 2)))"
+    crc = f"xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda c, b: {step}), 4294967295)"
+    sql = f"""
+WITH hashed AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf('text')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS f0
+  FROM documents
+),
+docs AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM hashed
+),
+a0 AS (SELECT tree, pos AS i, n, leaf AS node FROM docs)"""
+    for name, levels in (("a", inner), ("b", upper)):
+        if name == "b":
+            sql += f""",
+b0 AS (SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, node FROM a{inner})"""
+        for k in range(levels):
+            sql += f""",
+{name}r{k} AS (SELECT tree, i // 16 AS i, n, string_agg(node, '' ORDER BY i) AS run FROM {name}{k} GROUP BY tree, i // 16, n),
+{name}{k + 1} AS (SELECT tree, i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS node FROM {name}r{k})"""
+    last, step_no = "docs", 0
+    for name, levels in (("a", inner), ("b", upper)):
+        for k in range(levels):
+            tree, pos = ("d.tree", f"(d.pos // {16**k})") if name == "a" else ("0", f"(d.tree // {16**k})")
+            left, right = f"substr(r.run, 1, ({64} * ({pos} % 16))::INTEGER)", f"substr(r.run, (64 * ({pos} % 16) + 65)::INTEGER)"
+            before = "''" if not step_no else f"d.p{step_no}"
+            carried = "d.doc_id, d.tree, d.pos, d.leaf"
+            sql += f""",
+s{step_no + 1} AS (
+  SELECT {carried}, CASE WHEN r.n > 1 THEN sha256({left} || d.f{step_no} || {right}) ELSE d.f{step_no} END AS f{step_no + 1},
+    {before} || CASE WHEN r.n > 1 THEN {left} || {right} ELSE '' END AS p{step_no + 1}
+  FROM {last} d JOIN {name}r{k} r ON r.tree = {tree} AND r.i = {pos} // 16
+)"""
+            step_no += 1
+            last = f"s{step_no}"
+    return sql + f"""
+SELECT d.doc_id, d.leaf, a.node AS subroot, b.node AS root, sha256(d.p{step_no}) AS proof_sha256, d.f{step_no} AS folded_root,
+  d.f{step_no} = b.node AS verified
+FROM {last} d JOIN a{inner} a ON a.tree = d.tree CROSS JOIN b{upper} b
+"""
+
+
+ORACLES["op13_manifest"] = _manifest()
