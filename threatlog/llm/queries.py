@@ -12,6 +12,7 @@ from .language import learn_profiles, predict_languages
 from .merkle import with_tampering
 from .neardup import near_duplicates
 from .packing import pack
+from .phrases import collocations
 from .pii import span_digests
 from .rank_bpe import encoding_digests
 from .sql import ORACLES
@@ -74,6 +75,10 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_tampering(_table(spark, sf_dir, "documents"))
 
@@ -87,7 +92,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_language, op2_toxicity, op3_minhash, op4_topk, op5_bpe, op6_warc, op7_pii, op8_token_counts, op9_packing,
-        op10_near_vectors, op11_rank_bpe, op13_manifest,
+        op10_near_vectors, op11_rank_bpe, op12_collocations, op13_manifest,
     )
     return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 

@@ -136,4 +136,41 @@ FROM {last} d JOIN a{inner} a ON a.tree = d.tree CROSS JOIN b{upper} b
 """
 
 
+COLLOCATIONS = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)
+),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+cuts AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM counts WHERE m >= 2)
+),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, p.f AS l, q.f AS r, ((c.a::HUGEINT * 2000000) // (p.f + q.f))::BIGINT AS score
+  FROM cuts c JOIN counts p ON p.lang = c.lang AND p.phrase = c.x JOIN counts q ON q.lang = c.lang AND q.phrase = c.y
+),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT lang, f, m, s, w, unnest(range(1, m - s + 2)) AS i
+    FROM (SELECT lang, f, m, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS s FROM counts WHERE m >= 3))
+  GROUP BY ALL
+),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM lowest b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE place = 1 AND (most IS NULL OR 100 * most < 80 * a)
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+ORACLES["op12_collocations"] = COLLOCATIONS
 ORACLES["op13_manifest"] = _manifest()
