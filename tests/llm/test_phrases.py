@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from threatlog.llm import phrases
-from threatlog.llm.phrases import _counted, collocations, combined, frequent_ngrams, numbered_words, shrunk, survivors
+from threatlog.llm.phrases import _counted, collocations, combined, frequent_ngrams, numbered_words, packed, shrunk, survivors, unpacked
 
 SCHEMA = "doc_id bigint, text string, lang string, size int, phrase string, f bigint, hashes string"
 
@@ -118,3 +118,11 @@ def test_shrinking_bounds_counters_and_loss():
 def test_words():
     numbers, ids = numbered_words([b"A b\tA. c", "É b\x0bb".encode()])
     assert [list(numbers)[i] for i in ids] == [b"a", b"b", b"a", b"\xff", b"c", b"\xff", "É".encode(), b"b", b"\xff", b"b"]
+
+
+@given(st.dictionaries(st.integers(0, 2**48 - 1), st.integers(1, 2**40), min_size=1, max_size=50), st.sampled_from([1, 2**10, 2**40]))
+def test_packed_summaries(entries, most):
+    hashes = np.array(sorted(entries), np.uint64)
+    counts = np.array([min(entries[int(h)], most) for h in hashes], np.int64)
+    back = unpacked(packed(hashes, counts))
+    assert back[0].tolist() == hashes.tolist() and back[1].tolist() == counts.tolist()

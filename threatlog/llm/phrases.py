@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .texts import bounded_batches
+from .texts import bounded_batches, slices
 
 LONGEST, THRESHOLD, BEST = 4, 30, 2000
 #: Occurrences of n-grams of a range of hashes, on average; it bounds what one merging task holds.
-MASS = 1 << 22
+MASS = 1 << 21
 #: Occurrences that a task gathers before it adds them to its summary, counters of a summary, and of a row of it.
-GATHERED, COUNTERS, ROW = 1 << 21, 1 << 21, 1 << 17
+GATHERED, COUNTERS, ROW = 1 << 20, 1 << 20, 1 << 16
+#: Bits of a hash in a summary.  Two n-grams with one hash only make survivors that the second pass drops.
+HASH_BITS = 48
 #: Bits of the table of marks: 4 MB, whatever the input.
 MARK_BITS = 25
 #: Tasks that rank a language's phrases before the last one, which sees the best of each.
@@ -71,6 +73,8 @@ class Grams:
 
     def sizes(self, longest: int):
         """Yield (size, hashes, whether within a piece), for sizes 1 to ``longest``."""
+        import numpy as np
+
         if not len(self.ids):
             return
         hashes, within = _mixed(self._seed, self._of_word), self._known
@@ -78,17 +82,40 @@ class Grams:
             if size > 1:
                 hashes = _mixed(hashes[:-1], self._of_word[size - 1 :])
                 within = within[:-1] & self._known[size - 1 :]
-            yield size, hashes, within
+            yield size, hashes >> np.uint64(64 - HASH_BITS), within
 
 
 def _marked(marks, hashes):
     import numpy as np
 
-    places = hashes >> np.uint64(64 - MARK_BITS)
+    places = hashes >> np.uint64(HASH_BITS - MARK_BITS)
     words = marks[(places >> np.uint64(6)).astype(np.int64)]
     return (words >> (places & np.uint64(63))) & np.uint64(1) == 1
 
 
+def packed(hashes, counts) -> bytes:
+    """A summary, sorted by hash, as bytes: differences of hashes and counts, as narrow as they are."""
+    import numpy as np
+
+    steps, most = np.diff(hashes), int(counts.max())
+    wide = "<u8" if len(steps) and int(steps.max()) >> 32 else "<u4"
+    kind = "<u1" if most < 1 << 8 else "<u4" if most < 1 << 32 else "<i8"
+    head = np.array([len(hashes), int(wide[2]), int(kind[2]), int(hashes[0])], "<i8")
+    return head.tobytes() + steps.astype(wide).tobytes() + counts.astype(kind).tobytes()
+
+
+def unpacked(data: bytes):
+    """The hashes and counts of :func:`packed`."""
+    import numpy as np
+
+    n, wide, kind, first = np.frombuffer(data, "<i8", 4).tolist()
+    hashes = np.empty(n, np.uint64)
+    hashes[0] = first
+    hashes[1:] = np.frombuffer(data, f"<u{wide}", n - 1, 32)
+    counts = np.frombuffer(data, f"<{'i' if kind == 8 else 'u'}{kind}", n, 32 + wide * (n - 1))
+    return np.cumsum(hashes, dtype=np.uint64), counts.astype(np.int64)
+
+
 def combined(hashes, counts):
     """Counters with the same hash added up; sorted by hash."""
     import numpy as np
@@ -143,7 +170,7 @@ def _by_language(batch):
 
 
 def _summaries(docs: DataFrame, marks=None) -> DataFrame:
-    """Rows (hashes, counts, mass), each sorted by hash: of words and pairs, or with the marks of pairs of what is longer."""
+    """Rows (summary, mass), each sorted by hash: of words and pairs, or with the marks of pairs of what is longer."""
 
     def run(batches):
         import numpy as np
@@ -156,14 +183,14 @@ def _summaries(docs: DataFrame, marks=None) -> DataFrame:
         def rows():
             for at in range(0, len(hashes), ROW):
                 h, c = hashes[at : at + ROW], counts[at : at + ROW]
-                columns = [pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([int(c.sum())], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["hashes", "counts", "mass"])
+                columns = [pa.array([packed(h, c)], pa.binary()), pa.array([int(c.sum())], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["summary", "mass"])
 
         def added():
             new, n = np.unique(np.concatenate(gathered), return_counts=True)
             return combined(np.concatenate([hashes, new]), np.concatenate([counts, n]))
 
-        for batch in batches:
+        for batch in slices(batches, 1024):
             for lang, texts in _by_language(batch):
                 grams = Grams(lang, texts)
                 pairs = None
@@ -188,7 +215,7 @@ def _summaries(docs: DataFrame, marks=None) -> DataFrame:
             hashes, counts = added()
         yield from rows()
 
-    return docs.select("lang", "text").mapInArrow(run, "hashes binary, counts binary, mass bigint")
+    return docs.select("lang", "text").mapInArrow(run, "summary binary, mass bigint")
 
 
 def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
@@ -199,7 +226,7 @@ def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
     mass = parts.agg(F.sum("mass")).first()[0] or 0
     ranges = -(-mass // MASS) or 1
     # The first hash of each range; ranges are equally wide, so hashes fill them evenly.
-    starts = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64).tobytes()
+    starts = np.array([(r << HASH_BITS) // ranges for r in range(1, ranges)], np.uint64).tobytes()
 
     def cut(batches):
         import numpy as np
@@ -207,29 +234,25 @@ def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
 
         bounds = np.frombuffer(starts, np.uint64)
         for batch in batches:
-            for hashes, counts in zip(batch.column(0), batch.column(1)):
-                h, c = np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64)
+            for summary in batch.column(0):
+                h, c = unpacked(summary.as_py())
                 ends = [0, *np.searchsorted(h, bounds).tolist(), len(h)]
                 some = [(r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-                columns = [[r for r, _, _ in some], [h[a:b].tobytes() for _, a, b in some], [c[a:b].astype(np.int32 if c.max() < 2**31 else np.int64).tobytes() for _, a, b in some]]
-                kinds = (pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["range", "hashes", "counts"])
+                columns = [pa.array([r for r, _, _ in some], pa.int64()), pa.array([packed(h[a:b], c[a:b]) for _, a, b in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "summary"])
 
     def merge(table):
         import numpy as np
         import pyarrow as pa
 
-        found = []
-        for hashes, counts in zip(table.column("hashes"), table.column("counts")):
-            h, c = np.frombuffer(hashes.as_py(), np.uint64), counts.as_py()
-            found.append((h, np.frombuffer(c, np.int32 if len(c) == 4 * len(h) else np.int64).astype(np.int64)))
-        places = np.unique(survivors(found, threshold) >> np.uint64(64 - MARK_BITS))
+        left = survivors([unpacked(x.as_py()) for x in table.column("summary")], threshold)
+        places = np.unique(left >> np.uint64(HASH_BITS - MARK_BITS))
         words, first = np.unique(places >> np.uint64(6), return_index=True)
         ones = np.uint64(1) << (places & np.uint64(63))
         bits = np.bitwise_or.reduceat(ones, first) if len(first) else ones
         return pa.table({"word": words.astype(np.int64), "bits": bits.view(np.int64)})
 
-    cuts = parts.select("hashes", "counts").mapInArrow(cut, "range bigint, hashes binary, counts binary")
+    cuts = parts.select("summary").mapInArrow(cut, "range bigint, summary binary")
     merged = cuts.groupBy("range").applyInArrow(merge, "word bigint, bits bigint")
     found = merged.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**(MARK_BITS - 6) rows
     table = np.zeros(1 << (MARK_BITS - 6), np.int64)
