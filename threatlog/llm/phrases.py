@@ -24,8 +24,8 @@ MASS = 1 << 21
 GATHERED, COUNTERS, ROW = 1 << 20, 1 << 20, 1 << 16
 #: Bits of a hash in a summary.  Two n-grams with one hash only make survivors that the second pass drops.
 HASH_BITS = 48
-#: Bits of the table of marks: 4 MB, whatever the input.
-MARK_BITS = 25
+#: The table of marks has 2**27 bits (16 MB), whatever the input; each survivor sets two.
+MARK_BITS = 27
 #: Tasks that rank a language's phrases before the last one, which sees the best of each.
 RANKERS = 64
 
@@ -85,12 +85,21 @@ class Grams:
             yield size, hashes >> np.uint64(64 - HASH_BITS), within
 
 
+def _places(hashes):
+    """The two bits of each hash."""
+    import numpy as np
+
+    second = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARK_BITS)
+    return hashes >> np.uint64(HASH_BITS - MARK_BITS), second
+
+
 def _marked(marks, hashes):
     import numpy as np
 
-    places = hashes >> np.uint64(HASH_BITS - MARK_BITS)
-    words = marks[(places >> np.uint64(6)).astype(np.int64)]
-    return (words >> (places & np.uint64(63))) & np.uint64(1) == 1
+    found = np.ones(len(hashes), bool)
+    for places in _places(hashes):
+        found &= (marks[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1) == 1
+    return found
 
 
 def packed(hashes, counts) -> bytes:
@@ -246,7 +255,7 @@ def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
         import pyarrow as pa
 
         left = survivors([unpacked(x.as_py()) for x in table.column("summary")], threshold)
-        places = np.unique(left >> np.uint64(HASH_BITS - MARK_BITS))
+        places = np.unique(np.concatenate(_places(left)))
         words, first = np.unique(places >> np.uint64(6), return_index=True)
         ones = np.uint64(1) << (places & np.uint64(63))
         bits = np.bitwise_or.reduceat(ones, first) if len(first) else ones
