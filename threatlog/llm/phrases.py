@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
-from .texts import bounded_batches, slices
+from ..session import scratch_folder, staged
+from .texts import bounded_batches, remove_table, slices
 
 LONGEST, THRESHOLD, BEST = 4, 30, 2000
 #: Occurrences of n-grams of a range of hashes, on average; it bounds what one merging task holds.
@@ -231,7 +231,8 @@ def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
     """The table of bits that marks every hash whose n-gram may be frequent."""
     import numpy as np
 
-    parts = staged(_summaries(docs, marks))
+    spark, path = docs.sparkSession, scratch_folder(docs.sparkSession)
+    parts = staged(_summaries(docs, marks), path=path)
     mass = parts.agg(F.sum("mass")).first()[0] or 0
     ranges = -(-mass // MASS) or 1
     # The first hash of each range; ranges are equally wide, so hashes fill them evenly.
@@ -264,6 +265,7 @@ def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
     cuts = parts.select("summary").mapInArrow(cut, "range bigint, summary binary")
     merged = cuts.groupBy("range").applyInArrow(merge, "word bigint, bits bigint")
     found = merged.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**(MARK_BITS - 6) rows
+    remove_table(spark, path)
     table = np.zeros(1 << (MARK_BITS - 6), np.int64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return table.tobytes()
