@@ -37,7 +37,7 @@ def test_pages_go_round(spark, tmp_path):
 
 def test_files_are_plain_warc(spark, tmp_path):
     write_archives(_pages(spark, [(1, "a"), (2, "b")]), str(tmp_path / "a"))
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "a").glob("part-*")))
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "a").rglob("part-*")))
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: ") and data.endswith(END)
     assert [x[0] for x in salvage(data)] == ["record", "record"]
 
@@ -111,3 +111,49 @@ def test_gaps_are_rows(spark, tmp_path):
     gaps = [r for r in rows if r["kind"] == "gap"]
     assert [(r["offset"], r["gap_end"]) for r in gaps] == [(len(parts[0]), len(parts[0]) + 7)]
     assert sorted(bytes(r["payload"]) for r in rows if r["kind"] == "record") == [b"body 0 ", b"body 1 z", b"body 2 zz"]
+
+
+def test_records_of_one_member_are_salvaged():
+    parts = _plain(50)
+    content = b"".join(parts)
+    at = sum(map(len, parts[:20])) + 350
+    hurt = bytearray(content)
+    hurt[at] ^= 0xFF
+    data = gzip.compress(bytes(hurt))
+    found = list(salvage(data))
+    assert _ids(found) == [i for i in range(50) if i != 20]
+    assert [x[:3] for x in found if x[0] != "record"] == [("inner_gap", 0, len(data))]
+    # Cut off: all that the rest still holds; damaged in the middle: all before it, and what follows as further members.
+    zipped = gzip.compress(content)
+    found = list(salvage(zipped[: len(zipped) // 2]))
+    assert 15 < len(_ids(found)) < 50 and _ids(found) == list(range(len(_ids(found))))
+    assert [x[:3] for x in found if x[0] == "gap"] == [("gap", 0, len(zipped) // 2)]
+    hurt = bytearray(zipped + gzip.compress(parts[7]))
+    hurt[len(zipped) // 2] ^= 0x55
+    found = list(salvage(bytes(hurt)))
+    assert _ids(found)[-1] == 7 and len(_ids(found)) > 15
+    assert [x[:3] for x in found if x[0] == "gap"] == [("gap", 0, len(zipped))]
+
+
+def test_large_pages_get_files_of_their_own(spark, tmp_path):
+    make = random.Random(9)
+    text = lambda n: "".join(make.choice("abcdefgh <>") for _ in range(997)) * (n // 997 + 1)
+    pairs = [(i, text(5_000_000) + str(i)) for i in range(3)] + [(10 + i, text(300_000) + str(i)) for i in range(12)] + [(100 + i, str(i % 50)) for i in range(200)]
+    pairs += [(500, pairs[0][1]), (501, pairs[4][1])]
+    path = tmp_path / "a"
+    found = archived_pages(_pages(spark, pairs).repartition(1), str(path)).collect()
+    assert sorted(map(tuple, found), key=repr) == _expected(pairs)
+    by_class = {d.name: [p.stat().st_size for p in d.glob("part-*")] for d in path.iterdir() if d.is_dir()}
+    assert set(by_class) == {"revisits", "responses-0", "responses-2", "responses-3"}
+    assert len([s for s in by_class["responses-3"] if s]) == 3
+    assert sum(max(sizes) > 9_000_000 for sizes in by_class.values()) == 0
+
+
+def test_marks_without_need_lose_nothing(spark, tmp_path, monkeypatch):
+    """All marks set, as with very many revisits: every row is decided by the joins."""
+    from threatlog.llm import warc
+
+    monkeypatch.setattr(warc, "with_mark", lambda rows, key, keys, mark: rows.selectExpr("*", f"true as {mark}"))
+    pairs = [(i, f"page {i % 30}") for i in range(90)] + [(None, "page 3"), (89, "page 29"), (200, None), (201, "")]
+    found = archived_pages(_pages(spark, pairs), str(tmp_path / "a")).collect()
+    assert sorted(map(tuple, found), key=repr) == _expected(pairs)
