@@ -54,16 +54,21 @@ def test_odd_documents_pass_through(spark, odd, none, tmp_path):
     for table in (odd, none):
         table.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-        if table is none:
-            assert out == []
-    ids = {r["doc_id"] for r in out}
-    assert ids == set()
+        kept = {r["doc_id"] for r in out}
+        # What has letters stays, once for each different text; 6 and 7 are copies of 5.
+        assert kept == (set() if table is none else {None, 4, 5, 8, 9})
+        assert len({(r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in out if r["doc_id"] == 8}) == (0 if table is none else 2)
 
 
-def test_one_of_an_id_stays(spark, docs):
+def test_unlabelled_documents_stay(spark, docs):
+    rows = docs([(1, "some words"), (2, None), (3, "123")], lang=None)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, rows, "").collect()) == [1, 2, 3]
+
+
+def test_one_of_a_group_and_every_text_of_an_id_stay(spark, docs):
     text = " ".join(f"w{i}" for i in range(30))
-    rows = docs([(1, text), (1, text), (2, text), (3, text + " x"), (None, text), (4, "other words here")])
+    rows = docs([(1, text), (1, text), (2, text), (3, text + " x"), (None, text), (4, "other words here"), (4, "and a second text"), (4, "other words here")])
     found = corpus_pipeline.one_of_each_group(spark, rows, "")
     assert found.columns == rows.columns
-    assert sorted((r["doc_id"] or 0) for r in found.collect()) == [0, 1, 4]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found.collect()) == [(0, text), (1, text), (4, "and a second text"), (4, "other words here")]
     assert shingles(text, 5)

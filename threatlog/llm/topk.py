@@ -66,9 +66,11 @@ def search(tree, query, query_id, best: list, k: int):
     """Bring ``best`` (heap of (score, -id), the kth first) up to date with a shard."""
     import numpy as np
 
-    # Rounding can only lift a bound: half a unit per term is far above what doubles lose below 2**53.
-    bounds = np.maximum(query * tree["low"], query * tree["high"]).sum(1)
-    bounds = bounds + np.abs(bounds) * 1e-12
+    terms = np.maximum(query * tree["low"], query * tree["high"])
+    # A bound may not be rounded below a score: terms cancel, so the slack is that of their sizes, one unit in the last
+    # place for each product and each sum.  Scores are held within 64 bits, so bounds are not below the least of them.
+    bounds = terms.sum(1) + np.abs(terms).sum(1) * (2 * len(query) * 2.0**-52)
+    bounds = np.maximum(bounds, -(2.0**63) + 2.0**11)
     children, least = tree["children"], tree["least"]
     queue = [(-bounds[0], int(least[0]), 0)]
     while queue:
@@ -101,8 +103,8 @@ def search(tree, query, query_id, best: list, k: int):
 def top_k(vectors: DataFrame, is_query, k=10, scale=1024, id_col="vec_id", vector_col="embedding") -> DataFrame:
     """The k best candidates of each query: ``query_id``, ``rank`` (from 1), id, ``score`` (bigint).
 
-    Components become floor(scale * x); the score is the inner product, and equal scores go to the
-    smaller id.  ``is_query`` is a condition on the rows of ``vectors``; candidates are all rows but those
+    Components become floor(scale * x); the score is the inner product (both held within 64 bits), and equal
+    scores go to the smaller id.  ``is_query`` is a condition on the rows of ``vectors``; candidates are all rows but those
     with the query's id.  Null ids and vectors that are null, empty or hold null or non-finite components
     take no part; vectors of another length are no candidates.  Rows equal in id and vector count once; an id
     with several vectors asks once for each.
