@@ -4,9 +4,10 @@ import zlib
 from array import array
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from threatlog.llm import bytelevel
+from threatlog.llm import bytelevel, packing
 from threatlog.llm.bpe import BytePairCoder, bpe_digests, bpe_encode
 from threatlog.llm.packing import Tokens, cut, differencing, pack, windows
 from threatlog.llm.token_counts import TokenCounter, count_tokens, frequent_pretokens
@@ -119,3 +120,15 @@ def test_pack_covers_every_id_once(odd, none, library):
         assert all(c == zlib.crc32(of[4 * s : 4 * (s + n)]) for s, n, c in pieces)
     assert sorted(expected, key=repr) == sorted([(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in found], key=repr)
     assert pack(none).count() == 0
+
+
+def test_equal_rows_are_spread(spark, docs, monkeypatch):
+    """Equal documents go to many groups: none grows with the copies."""
+    n = 20_000
+    text = "the cat sat on the mat " * 50
+    rows = spark.range(n).selectExpr("7L as doc_id", f"'{text}' as text")
+    windows_ = pack(rows).groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("pieces"))
+    group = F.expr("sequence_id div 4294967296").alias("g")
+    sizes = windows_.groupBy(group).agg(F.sum("pieces").alias("pieces"), F.max("tokens").alias("tokens")).collect()
+    assert sum(r["pieces"] for r in sizes) == n and max(r["tokens"] for r in sizes) <= 4096
+    assert len(sizes) == n // packing.GROUP and max(r["pieces"] for r in sizes) < 1.3 * packing.GROUP

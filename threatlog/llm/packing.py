@@ -1,7 +1,7 @@
 """Packing of tokenised documents into windows, by Karmarkar-Karp multiway differencing.
 
 Full windows are cut from a document where it is tokenised.  What is left of it is cut into pieces of
-at most ``PIECE`` ids, and the pieces of about ``GROUP`` documents are shared out among k windows: each
+at most ``PIECE`` ids, and about ``GROUP`` pieces are shared out among k windows: each
 piece starts as a partition of k sums with one filled; the two partitions with the largest spread
 are merged, the largest sum of one with the smallest of the other, until one is left.  k starts at the
 least possible number and rises while a window is over capacity.
@@ -16,14 +16,15 @@ from heapq import heapify, heappop, heapreplace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .bytelevel import BoundedCache, Cutter, kept_in_worker, spelled, vocabulary
 from .texts import bounded_batches, slices
 
 CAPACITY = 4096
 #: Longest piece of what is left of a document: at a quarter of a window, differencing levels them well.
 PIECE = 1024
-#: Documents that are packed together, on average; bounds the task's memory and its k.
-GROUP = 1000
+#: Pieces of less than a window that are packed together, on average; bounds the task's memory and its k.
+GROUP = 2000
 #: Chunks, and a quarter as many pre-tokens, that a worker keeps encoded (about 50 MB).
 CACHED = 200_000
 
@@ -121,11 +122,10 @@ def pack(
 
     A null or empty text is the end id alone.  Rows with the same id are separate documents.  A null
     id is packed too.  Other columns are not read.  Texts are read once and not shuffled: only the
-    lengths of pieces go to the groups, which are dealt by a hash of the whole row, not of a key.
+    lengths of pieces go to the groups, which are dealt by a running number, so that equal rows spread like others.
     """
     bounded_batches(docs.sparkSession)
     path = path or vocabulary("word_bpe_49k.json")
-    groups = max(1, -(-docs.count() // GROUP))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def tokenise(batches):
@@ -172,13 +172,13 @@ def pack(
         )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cut_up = rows.mapInArrow(tokenise, f"id {kind}, doc_tokens bigint, pieces {_PIECES}")
-    dealt = cut_up.withColumns(
-        {
-            "first_crc": F.col("pieces")[0]["crc"],
-            "packed_with": F.pmod(F.xxhash64("id", F.col("pieces")[0]["crc"], "doc_tokens"), F.lit(groups)),
-        }
-    )
+    # Written once: the groups' number depends on the pieces, and a task that is run again numbers rows as before.
+    cut_up = staged(rows.mapInArrow(tokenise, f"id {kind}, doc_tokens bigint, pieces {_PIECES}"))
+    # Of a document's pieces those after the full windows.
+    rest = F.ceil(F.pmod("doc_tokens", F.lit(capacity)) / PIECE)
+    groups = max(1, -(-(cut_up.agg(F.sum(rest)).first()[0] or 0) // GROUP))
+    number = F.xxhash64(F.monotonically_increasing_id())
+    dealt = cut_up.withColumns({"first_crc": F.col("pieces")[0]["crc"], "packed_with": F.pmod(number, F.lit(groups))})
     packed = dealt.groupBy("packed_with").applyInArrow(
         share_out,
         f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
