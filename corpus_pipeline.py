@@ -22,22 +22,31 @@ LEAST_SCORE = 0.2
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters (null and empty ones too) and such in none of the learned languages."""
-    profiles = learn_profiles(docs)
+    """Drops documents without letters (null and empty ones too) and such in none of the learned languages.
+
+    Without any labelled document there is nothing to judge by: all stay.  Equal rows and ids are judged one by one.
+    """
+    profiles = staged(learn_profiles(docs))
+    if profiles.isEmpty():
+        return docs
     found = predict_languages(docs, profiles, keep=docs.columns)
     lang, score = found.columns[-2:]
     return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier chain, learned from ``labels``, calls toxic."""
+    """Drops documents that the classifier chain, learned from ``labels``, calls toxic.
+
+    Null and empty texts hold no features and stay; rows with equal ids are judged each by its own text.
+    """
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five words, 0.8): that with the smallest id.
 
-    Rows with a null id stay.  Of several rows with one id that stays, that with the smallest hash does.
+    Rows with a null id stay.  Rows with an id that stays do so once for each different text: two texts under one id
+    are two documents, and equal rows are copies.
     """
     flags = staged(near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"))
     gone = staged(flags.where("not kept").select("doc_id").distinct())
@@ -49,7 +58,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     several = staged(flags.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if several.isEmpty():
         return left
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    first = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*docs.columns))
     ranked = left.join(several, "doc_id", "left_semi").select("*", F.row_number().over(first).alias("_row_of_id"))
     return left.join(several, "doc_id", "left_anti").select(*docs.columns).union(ranked.where("_row_of_id = 1").select(*docs.columns))
 
@@ -60,7 +69,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens; a null or empty text is the end token alone."""
     return pack(docs)
 
 
