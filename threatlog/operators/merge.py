@@ -1,9 +1,8 @@
 """Hits to threats: one row per rule, address and user.
 
-Grouping sets count every hit twice in one pass, once per ``(rule, ip, user)`` and once per
-distinct evidence of it.  The first set gives the total and the first hit, the second the
-evidences in first-seen order, of which a ranked limit keeps five; Spark applies such a limit
-before its shuffle too, so a threat with millions of evidences sends five per task.
+A task counts its hits per threat and per distinct evidence and keeps the five first evidences of each threat
+(:mod:`threatlog.operators.groups`), so a threat with millions of evidences sends five per task through the first
+shuffle.  Merged over the tasks, the totals give the counts and the first hit, and a ranked limit the five evidences.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed_values import EVIDENCE_CAP
+from .groups import as_grouped, merged, partial_hit_groups
 from .rules import RuleSet, default_rules
 
 THREAT_COLUMNS = (
@@ -30,20 +30,9 @@ def merge_threats(hits: DataFrame, bursts: DataFrame | None = None, rules: RuleS
     in first-seen order, ``count`` the sum.
     """
     rules = rules or default_rules()
-    first = {name: F.min_by(name, "seq").alias(name) for name in _FIRST_FIELDS}
-    if rules.free_text:
-        first["description"] = F.min_by("description", "seq").alias("description")
-    grouped = (
-        hits.groupingSets(
-            [["rule_no", "ip", "user", "evidence"], ["rule_no", "ip", "user"]], "rule_no", "ip", "user", "evidence"
-        )
-        .agg(
-            F.grouping("evidence").alias("is_total"), F.count("*").alias("count"),
-            F.min("seq").alias("first_seq"), *first.values(),
-        )
-    )
-    merged = merge_grouped(grouped, rules)
-    return merged if bursts is None else merged.unionByName(burst_threats(bursts))
+    groups = merged(partial_hit_groups(hits, rules.free_text))
+    threats = merge_grouped(as_grouped(groups, rules.free_text), rules)
+    return threats if bursts is None else threats.unionByName(burst_threats(bursts))
 
 
 def merge_grouped(grouped: DataFrame, rules: RuleSet) -> DataFrame:

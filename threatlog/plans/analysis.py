@@ -1,21 +1,9 @@
 """The whole analysis of a log with one scan of it.
 
 Reading and parsing is what costs, so everything a report needs is counted in the one pass
-that does it: each line is fanned out to the few groups it belongs to, and one aggregation
-counts them.  The groups are
-
-======== ================================ ============================================
-kind     group                            used for
-======== ================================ ============================================
-line     format                           line counts, parse quality
-tick     address, time                    burst rules, top addresses, timeline
-path     path                             top paths
-status   status                           statuses
-threat   rule, address, user              totals of merged threats
-evidence rule, address, user, evidence    their evidences
-======== ================================ ============================================
-
-Grouping happens before the shuffle, so what is shuffled and written is the distinct groups.
+that does it (:mod:`threatlog.operators.groups`): each task counts the groups its lines belong to,
+with the five first evidences of a threat, and one aggregation merges them.  What is shuffled
+and written is the distinct groups.
 The table is written once to the shared scratch folder, by kind, and every result reads it.
 """
 
@@ -29,17 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filled
 from ..operators import stats
+from ..operators.groups import as_grouped, merged, partial_groups
 from ..operators.merge import burst_threats, merge_grouped, ranked_threats
-from ..operators.parse import DROPPED, parse_logs
-from ..operators.rules import RuleSet, candidate_hits, counter_flags, default_rules
+from ..operators.parse import parse_logs
+from ..operators.rules import RuleSet, counter_flags, default_rules
 from ..operators.windows import default_thresholds, threshold_hits
 from ..session import remove_folder, scratch_folder, staged
 
-# Group kinds; threat and evidence groups carry the rule's number on top.
-_RULE_SPAN = 500_000_000
-_LINE, _TICK, _PATH, _STATUS, _THREAT, _EVIDENCE = 1, 2, 3, 4, _RULE_SPAN, 2 * _RULE_SPAN
-
-
 class Analysis:
     """Results over one log.  Nothing runs before a result is asked for."""
 
@@ -58,11 +42,20 @@ class Analysis:
         self.rules = rules or default_rules()
         self.thresholds = tuple(thresholds or default_thresholds())
         self._parse_options, self._folders = parse_options, []
+        self._partial = None
         self.counters = counter_flags() | (counters or {})
         unknown = {r.counter for r in self.thresholds} - set(self.counters)
         if unknown:
             raise ValueError(f"no such counter: {sorted(unknown)}")
 
+    @classmethod
+    def of_groups(cls, groups: DataFrame, as_of: datetime, rules=None, thresholds=None, counters=None) -> Analysis:
+        """The analysis of a log whose groups, merged or in parts, are known; ``rules`` and ``counters`` are those they were
+        counted with.  It has no lines."""
+        found = cls(None, as_of, rules, thresholds, counters)
+        found._partial = groups
+        return found
+
     @cached_property
     def entries(self) -> DataFrame:
         return parse_logs(self.lines, as_of=self.as_of, **self._parse_options)
@@ -81,7 +74,7 @@ class Analysis:
         for name in ("groups", "threats", "ranked"):
             self.__dict__.pop(name, None)
         while self._folders:
-            remove_folder(self.lines.sparkSession, self._folders.pop())
+            remove_folder((self.lines if self._partial is None else self._partial).sparkSession, self._folders.pop())
 
     def __enter__(self):
         return self
@@ -90,68 +83,10 @@ class Analysis:
         self.close()
 
     def _count_groups(self) -> DataFrame:
-        rules = self.rules
+        if self._partial is not None:
+            return merged(self._partial)
         every = parse_logs(self.lines, as_of=self.as_of, keep_dropped=True, **self._parse_options)
-        kept = F.col("format") != DROPPED
-        hits = F.col("candidates")
-        # Every line, plus its tick, path and status if it has them, plus two groups per possible hit.
-        numbers = F.concat(
-            F.array_remove(
-                F.array(
-                    F.lit(_LINE),
-                    F.when(kept, F.lit(_TICK)).otherwise(0),
-                    F.when(filled(F.col("path")).isNotNull(), F.lit(_PATH)).otherwise(0),
-                    F.when(F.col("status") != 0, F.lit(_STATUS)).otherwise(0),
-                ),
-                0,
-            ),
-            F.transform(hits, lambda n: n + _THREAT),
-            F.transform(hits, lambda n: n + _EVIDENCE),
-        )
-        flags = {f"_counter{i}": kept & flag for i, flag in enumerate(self.counters.values())}
-        marked = every.withColumns(flags)
-        fanned = candidate_hits(marked, rules).withColumn("_group", F.explode_outer(numbers))
-        group = F.col("_group")
-        rule_no = F.when(group >= _THREAT, group % _RULE_SPAN)
-        fanned = fanned.withColumn("rule_no", rule_no).where(
-            F.col("rule_no").isNull() | rules.confirmed(F.col("rule_no"))
-        )
-        is_threat, is_tick = group >= _THREAT, group == _TICK
-        no = F.col("rule_no")
-        kind = (
-            F.when(group == _LINE, "line").when(is_tick, "tick").when(group == _PATH, "path")
-            .when(group == _STATUS, "status").when(group < _EVIDENCE, "threat").otherwise("evidence")
-        )
-        text = (
-            F.when(group == _LINE, F.col("format"))
-            .when(group == _PATH, F.col("path"))
-            .when(group == _STATUS, F.col("status").cast("string"))
-            .when(group >= _EVIDENCE, rules.by_number(no, lambda r: r.evidence))
-        )
-        keyed = fanned.select(
-            kind.alias("kind"), "rule_no",
-            F.when(is_threat | is_tick, F.col("ip")).alias("ip"),
-            F.when(is_threat, F.col("user")).alias("user"),
-            text.alias("text"),
-            F.when(is_tick, F.col("ts")).alias("at"),
-            "seq", "ts", "tz_offset", "status", *flags,
-            *(
-                [rules.by_number(no, lambda r: r.describe(F.col("ip"), F.col("user"), F.col("status")))
-                 .alias("description")]
-                if rules.free_text else []
-            ),
-        )
-        first = [F.min_by(c, "seq").alias(f"first_{c}") for c in ("ts", "tz_offset", "status")]
-        if rules.free_text:
-            first.append(F.min_by("description", "seq").alias("first_description"))
-        seq = F.col("seq")
-        return keyed.groupBy("kind", "rule_no", "ip", "user", "text", "at").agg(
-            F.count("*").alias("n"),
-            F.min("seq").alias("first_seq"),
-            *[F.count_if(c).alias(f"n{c}") for c in flags],
-            *[F.min(F.when(F.col(c), seq)).alias(f"first{c}") for c in flags],
-            *first,
-        )
+        return merged(partial_groups(every, self.rules, self.counters))
 
     def _kind(self, *kinds: str) -> DataFrame:
         return self.groups.where(F.col("kind").isin(*kinds))
@@ -185,13 +120,7 @@ class Analysis:
     @cached_property
     def threats(self) -> DataFrame:
         """Merged threats, written to the scratch folder."""
-        grouped = self._kind("threat", "evidence").select(
-            "rule_no", "ip", "user", F.col("text").alias("evidence"),
-            F.when(F.col("kind") == "threat", 1).otherwise(0).alias("is_total"),
-            F.col("n").alias("count"), "first_seq", F.col("first_ts").alias("ts"),
-            F.col("first_tz_offset").alias("tz_offset"), F.col("first_status").alias("status"),
-            *([F.col("first_description").alias("description")] if self.rules.free_text else []),
-        )
+        grouped = as_grouped(self._kind("threat", "evidence"), self.rules.free_text)
         bursts = threshold_hits(self.ticks, self.thresholds)
         return self._kept(merge_grouped(grouped, self.rules).unionByName(burst_threats(bursts)))
 

@@ -51,3 +51,16 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder on whatever file system it is; none where there is no folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+
+
+def create_marker(spark: SparkSession, path: str) -> None:
+    """An empty file, which is there at once or not at all."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True).close()

@@ -238,7 +238,7 @@ def oracle_sql() -> dict[str, str]:
              WHEN 'json' THEN CAST(regexp_extract(raw->>'$.status', '^\\d+') AS INTEGER) END AS status,
         CASE format WHEN 'syslog' THEN {_syslog(2)} WHEN 'generic' THEN {_generic(2)} ELSE raw[1:200] END AS message
         FROM fmt WHERE format <> 'dropped'"""
-    return {
+    found = {
         "rendered_lines": _with(_LOG, "SELECT line_no, line FROM log"),
         "parse_access": _with(
             e,
@@ -391,3 +391,6 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_context_lines": _with(_CONTEXT, "SELECT line FROM near WHERE keep = 1"),
     }
+    # The same rows by another way.
+    same = {"composed_threats": "merged_threats", "stream_threats": "merged_threats", "stream_report": "summary_report"}
+    return found | {name: found[of] for name, of in same.items()}

@@ -48,13 +48,18 @@ def _ticks(spark, sf_dir):
     return tl.ticks(_entries(spark, sf_dir))
 
 
+def _analysis(spark, sf_dir):
+    return tl.Analysis(_access(spark, sf_dir), as_of=AS_OF, default_year=YEAR)
+
+
 def _threats(spark, sf_dir):
-    entries = _entries(spark, sf_dir)
-    return tl.merge_threats(tl.rule_hits(entries), tl.threshold_hits(tl.ticks(entries)))
+    return _analysis(spark, sf_dir).threats
 
 
-def _analysis(spark, sf_dir):
-    return tl.Analysis(_access(spark, sf_dir), as_of=AS_OF, default_year=YEAR)
+def _composed_threats(spark, sf_dir):
+    """The same from the single operators, which read the log twice."""
+    entries = _entries(spark, sf_dir)
+    return tl.merge_threats(tl.rule_hits(entries), tl.threshold_hits(tl.ticks(entries)))
 
 
 def _format(spark, sf_dir, name, *columns):
@@ -167,12 +172,20 @@ def context_lines(spark, sf_dir):
 _THREAT = ("rule_id", "rule_name", "level", "level_score", "description", "ip", "user")
 
 
+def threat_columns():
+    return [*_THREAT, _time("ts"), _joined("evidence"), "count", "first_seq"]
+
+
 def merged_threats(spark, sf_dir):
-    return _threats(spark, sf_dir).select(*_THREAT, _time("ts"), _joined("evidence"), "count", "first_seq")
+    return _threats(spark, sf_dir).select(*threat_columns())
 
 
 def one_scan_threats(spark, sf_dir):
-    return _analysis(spark, sf_dir).threats.select(*_THREAT, _time("ts"), _joined("evidence"), "count", "first_seq")
+    return _analysis(spark, sf_dir).threats.select(*threat_columns())
+
+
+def composed_threats(spark, sf_dir):
+    return _composed_threats(spark, sf_dir).select(*threat_columns())
 
 
 def ranked_threats(spark, sf_dir):
@@ -237,12 +250,16 @@ def distinct_counts(spark, sf_dir):
     return tl.distinct_counts(_entries(spark, sf_dir, columns=("ip", "path")))
 
 
-def summary_report(spark, sf_dir):
-    return tl.summary_report(_analysis(spark, sf_dir)).select(
+def summary_columns():
+    return [
         _time("generated_at"), "total_entries", "parsed_entries", "threat_count", _map_text("by_level"), "unique_ips",
         "unique_paths", _pairs("top_ips", "ip", "n"), _pairs("top_paths", "path", "n"), _map_text("timeline"),
         "risk_score", "risk_band",
-    )
+    ]
+
+
+def summary_report(spark, sf_dir):
+    return tl.summary_report(_analysis(spark, sf_dir)).select(*summary_columns())
 
 
 def stat_tiles(spark, sf_dir):
@@ -336,7 +353,7 @@ _QUERIES = (
     rendered_lines, parse_access, parse_ssh, parse_syslog, parse_generic, parse_json, parse_delimited,
     parse_mixed_dispatch, parse_quality, rule_hits, rule_hit_counts, mixed_rule_hit_counts, line_severity, line_search,
     peak_windows, threshold_threats, throttled_alert_steps, alert_trigger_rows, context_lines, merged_threats,
-    one_scan_threats, ranked_threats, threats_of_level, threats_by_level, severity_matrix, risk_score, gate, top_ips,
+    one_scan_threats, composed_threats, ranked_threats, threats_of_level, threats_by_level, severity_matrix, risk_score, gate, top_ips,
     top_paths, bar_shares, status_counts, timeline_hhmm, timeline_minute, timeline_stats, distinct_counts,
     summary_report, stat_tiles, report_document, threat_details, playbook_join, evidence_marked, alert_lines,
     notable_alerts, ip_extraction, page_script_scan, conversation_severity, delimiter_stats, column_stats,
