@@ -35,6 +35,7 @@ from .operators.windows import (
     ticks,
 )
 from .plans.analysis import Analysis
+from .plans.context import log_context
 from .plans.report import report_lines, save_report, stat_tiles, summary_report
 from .session import tune
 from .sources.lines import from_lines, from_text, read_logs, spread, stream_logs

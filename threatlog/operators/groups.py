@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import EVIDENCE_CAP
 from ..functions.text import filled
 from .parse import DROPPED
-from .rules import RuleSet, candidate_hits
+from .rules import RuleSet, candidate_hits, sure_hits
 
 KEYS = ("kind", "rule_no", "ip", "user", "text", "at")
 #: Rows that wait before they are combined, and combined groups that a task holds at most.
@@ -136,12 +136,11 @@ def partial_groups(entries: DataFrame, rules: RuleSet, counters: dict) -> DataFr
     types = columns(len(counters), rules.free_text)
     kept = F.col("format") != DROPPED
     found = []
-    for number, rule in enumerate(rules.rules, start=1):
+    for number, (rule, sure) in enumerate(zip(rules.rules, sure_hits(rules)), start=1):
         fields = [F.lit(number).alias("no"), rule.evidence.alias("evidence")]
         if rules.free_text:
             fields.append(rule.describe(F.col("ip"), F.col("user"), F.col("status")).alias("description"))
-        sure = F.array_contains("candidates", number)
-        found.append(F.when(sure & rule.predicate if rule.hints else sure, F.struct(*fields)))
+        found.append(F.when(sure, F.struct(*fields)))
     marked = candidate_hits(entries, rules)
     rows = marked.select(
         "format", "ip", "user", "ts", "tz_offset", "status", filled(F.col("path")).alias("path"), "seq", kept.alias("kept"),

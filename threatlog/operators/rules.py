@@ -12,6 +12,8 @@ as holding every hint, as such a letter may stand for an ASCII one when case is
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +145,20 @@ def candidate_hits(entries: DataFrame, rules: RuleSet) -> DataFrame:
     )
 
 
+def sure_hits(rules: RuleSet) -> list[Column]:
+    """For each rule whether a row with ``candidates`` is a hit."""
+    found = []
+    for number, rule in enumerate(rules.rules, start=1):
+        may = F.array_contains("candidates", number)
+        found.append(may & rule.predicate if rule.hints else may)
+    return found
+
+
+def is_hit(rules: RuleSet) -> Column:
+    """Whether any rule hits a row with ``candidates``; rules are tried until one does."""
+    return F.coalesce(F.when(F.size("candidates") > 0, reduce(or_, sure_hits(rules))), F.lit(False))
+
+
 def default_rules() -> RuleSet:
     """The eleven built-in row rules."""
     raw, path, message, status = F.col("raw"), F.col("path"), F.col("message"), F.col("status")

@@ -391,6 +391,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_context_lines": _with(_CONTEXT, "SELECT line FROM near WHERE keep = 1"),
     }
+    found["context_of_files"] = _with(
+        _CONTEXT, "SELECT n AS line_no, line FROM (SELECT *, row_number() OVER (ORDER BY line_no) AS n FROM near) WHERE keep = 1"
+    )
     # The same rows by another way.
     same = {"composed_threats": "merged_threats", "stream_threats": "merged_threats", "stream_report": "summary_report"}
     return found | {name: found[of] for name, of in same.items()}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import threatlog as tl
+from threatlog.session import scratch_folder
+
 from . import live
 from .logs import AS_OF, YEAR, lines
 
@@ -161,12 +163,18 @@ def alert_trigger_rows(spark, sf_dir):
 
 
 def context_lines(spark, sf_dir):
-    log = tl.number_lines(_access(spark, sf_dir))
-    alerting = (
-        _hits(spark, sf_dir).select("source", F.col("seq").alias("line_no"))
-        .union(_triggers(spark, sf_dir).select("source", F.col("seq").alias("line_no")))
-    )
-    return tl.context_lines(log, alerting).select("line_no", "line")
+    return tl.log_context(_access(spark, sf_dir), as_of=AS_OF, default_year=YEAR).select("line_no", "line")
+
+
+def _files(spark, sf_dir):
+    """The access log as text files, whose names are in the order of its lines."""
+    folder = scratch_folder(spark)
+    _access(spark, sf_dir).orderBy("seq").select("line").write.text(folder)
+    return tl.read_logs(spark, folder, source="access")
+
+
+def context_of_files(spark, sf_dir):
+    return tl.log_context(_files(spark, sf_dir), as_of=AS_OF, default_year=YEAR).select("line_no", "line")
 
 
 _THREAT = ("rule_id", "rule_name", "level", "level_score", "description", "ip", "user")
@@ -352,7 +360,7 @@ def custom_threshold(spark, sf_dir):
 _QUERIES = (
     rendered_lines, parse_access, parse_ssh, parse_syslog, parse_generic, parse_json, parse_delimited,
     parse_mixed_dispatch, parse_quality, rule_hits, rule_hit_counts, mixed_rule_hit_counts, line_severity, line_search,
-    peak_windows, threshold_threats, throttled_alert_steps, alert_trigger_rows, context_lines, merged_threats,
+    peak_windows, threshold_threats, throttled_alert_steps, alert_trigger_rows, context_lines, context_of_files, merged_threats,
     one_scan_threats, composed_threats, ranked_threats, threats_of_level, threats_by_level, severity_matrix, risk_score, gate, top_ips,
     top_paths, bar_shares, status_counts, timeline_hhmm, timeline_minute, timeline_stats, distinct_counts,
     summary_report, stat_tiles, report_document, threat_details, playbook_join, evidence_marked, alert_lines,
