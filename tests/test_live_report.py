@@ -7,7 +7,8 @@ import threatlog as tl
 from threatlog.session import folder_names
 from threatlog.streaming import LiveReport
 from threatlog.streaming import report as module
-from threatlog.streaming.report import runs_of
+from threatlog.streaming import runs
+from threatlog.streaming.runs import runs_of
 
 AS_OF = datetime(2026, 6, 1)
 OPTIONS = {"as_of": AS_OF, "default_year": 2026}
@@ -37,18 +38,19 @@ def _same(analysis, lines):
 
 def test_runs_hold_every_epoch_once():
     for epochs in range(0, 300):
-        runs = runs_of(epochs)
-        assert [e for a, b in runs for e in range(a, b + 1)] == list(range(epochs))
-        sizes = [b - a + 1 for a, b in runs]
-        assert all(sizes.count(s) < module.FAN for s in sizes) and sizes == sorted(sizes, reverse=True)
+        found = runs_of(epochs)
+        assert [e for a, b in found for e in range(a, b + 1)] == list(range(epochs))
+        sizes = [b - a + 1 for a, b in found]
+        assert all(sizes.count(s) < runs.FAN for s in sizes) and sizes == sorted(sizes, reverse=True)
         # The last run is made of the batch and of whole runs before it.
         if epochs:
             before = runs_of(epochs - 1)
-            assert [r for r in before if r[0] < runs[-1][0]] == runs[:-1]
+            assert [r for r in before if r[0] < found[-1][0]] == found[:-1]
+            assert runs.merged_into(epochs - 1) == (found[-1], [r for r in before if r[0] >= found[-1][0]])
 
 
 def test_equals_the_batch_report(spark, log, tmp_path, monkeypatch):
-    monkeypatch.setattr(module, "FAN", 2)
+    monkeypatch.setattr(runs, "FAN", 2)
     lines = log(list(_texts(300)) + ["# note", "", "free text"])
     folder, source, checkpoint = (str(tmp_path / x) for x in ("out", "in", "checkpoint"))
     schema = lines.schema

@@ -198,3 +198,26 @@ def test_tail_follows_appends_and_truncation(spark, tmp_path):
     with path.open("ab") as file:
         file.write(b"more\n")
     assert run("end", "end") == [("more", 4)]
+
+
+def test_idle_sources_cost_nothing(spark, tmp_path, monkeypatch):
+    """What an epoch writes of the last lines depends on the sources that sent some; none is forgotten."""
+    from threatlog.streaming import runs
+    from threatlog.streaming.job import _LiveJob
+
+    monkeypatch.setattr(runs, "FAN", 3)
+    idle = spark.range(10_000).selectExpr("concat('idle', id) as source", "'calm line' as line", "1L as seq")
+    job = _LiveJob(START, str(tmp_path / "out"), str(tmp_path / "check"), None, None, timedelta(minutes=10), None, None, {})
+    rows = lambda source, texts: spark.createDataFrame([(source, t, n) for n, t in enumerate(texts)], "source string, line string, seq bigint")
+    job.run(idle.unionByName(rows("busy", [f"calm {n}" for n in range(20)])), 0)
+    written = lambda run: spark.read.parquet(runs.run_path(f"{job.state}/tail", run))
+    assert written((0, 0)).count() == 10_014
+    job.run(rows("busy", ["more"]), 1)
+    assert written((1, 1)).select("source").distinct().collect()[0][0] == "busy" and written((1, 1)).count() == 14
+    # The third epoch makes one run of all; then an idle source goes on with its numbers and its lines.
+    job.run(rows("busy", ["still more"]), 2)
+    assert written((0, 2)).count() == 10_014
+    job.run(rows("idle7", ["GET /../../etc/passwd from 1.1.1.1"]), 3)
+    assert {r["line_no"] for r in spark.read.parquet(f"{job.out}/alerts/epoch=3").collect()} == {2}
+    assert [r["value"] for r in spark.read.text(f"{job.out}/context/epoch=3").collect()] == ["calm line", "GET /../../etc/passwd from 1.1.1.1"]
+    assert written((3, 3)).count() == 2

@@ -6,7 +6,8 @@ which is written as tables next to the checkpoint, one folder per epoch:
 * ``ticks``: counts no older than one window and ``delay`` before the middle of the times known, and
   those of lines without a readable time, which all count at ``as_of``;
 * ``peaks``: the peak of every address that has alerted;
-* ``tail``: the last fourteen lines of every source.
+* ``tail``: the last fourteen lines of every source, in runs (:mod:`threatlog.streaming.runs`): an epoch writes those
+  of the sources that sent lines, and reads those of the same sources.
 
 Intermediate tables are replaced by the next batch, state older than one epoch is removed.
 
@@ -34,6 +35,7 @@ from ..functions.times import wall_micros
 from ..operators.rules import counter_flags, default_rules, rule_hits
 from ..operators.windows import alert_rows, alert_steps, default_thresholds, numbered_within, peaks, ticks
 from ..session import remove_folder, staged
+from .runs import merged_into, remove_old_runs, run_path, runs_of
 
 ALERT_COLUMNS = (
     "rule_id", "rule_name", "level", "level_score", "description", "ip", "user", "ts", "evidence", "count",
@@ -41,6 +43,15 @@ ALERT_COLUMNS = (
 )
 
 
+_TAIL = "source string, line_no bigint, line string, written boolean, epoch bigint"
+
+
+def _latest(tails: DataFrame) -> DataFrame:
+    """Of each source the lines that its last epoch left."""
+    last = tails.groupBy("source").agg(F.max("epoch").alias("epoch"))
+    return tails.join(last, ["source", "epoch"], "left_semi")
+
+
 def start_alerts(
     lines: DataFrame,
     as_of: datetime,
@@ -84,7 +95,7 @@ class _LiveJob:
     def run(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rules = self.rules or default_rules()
-        tail = self._carried(spark, "tail", epoch, "source string, line_no bigint, line string, written boolean")
+        tail = self._tail(batch, epoch)
         numbered = self._staged(self._number(batch, tail), "numbered")
         everything = parse_logs(
             numbered.select("line", "source", F.col("line_no").alias("seq")),
@@ -106,8 +117,21 @@ class _LiveJob:
         self._context(numbered, tail, alerts, epoch)
         if self.on_alert is not None:
             self.on_alert(notable(alerts), epoch)
-        for name in ("ticks", "peaks", "tail"):
+        for name in ("ticks", "peaks"):
             remove_folder(spark, f"{self.state}/{name}/epoch={epoch - 2}")
+        remove_old_runs(spark, f"{self.state}/tail", epoch)
+
+    def _tail(self, batch, epoch):
+        """The last lines of the sources of a batch."""
+        sources = batch.select(F.coalesce("source", F.lit("")).alias("source")).distinct()
+        known = self._tail_runs(batch.sparkSession, runs_of(epoch)).join(sources, "source", "left_semi")
+        return self._staged(_latest(known), "tail")
+
+    def _tail_runs(self, spark, runs):
+        found = spark.createDataFrame([], _TAIL)
+        for run in runs:
+            found = found.unionByName(spark.read.schema(_TAIL).parquet(run_path(f"{self.state}/tail", run)))
+        return found
 
     def _number(self, batch, tail):
         """Lines numbered on from where their source was."""
@@ -173,7 +197,7 @@ class _LiveJob:
         )
 
     def _context(self, numbered, tail, alerts, epoch):
-        near = tail.unionByName(numbered.withColumn("written", F.lit(False)))
+        near = tail.drop("epoch").unionByName(numbered.withColumn("written", F.lit(False)))
         placed = alerts.where(F.col("line_no").isNotNull())
         wanted = context_lines(near, placed.select("source", "line_no"), CONTEXT_LINES)
         wanted = self._staged(wanted.where(~F.col("written")), "context")
@@ -188,7 +212,11 @@ class _LiveJob:
         kept = kept.join(now, ["source", "line_no"], "left").withColumn(
             "written", F.col("written") | F.coalesce("_now", F.lit(False))
         )
-        self._carry(kept.select("source", "line_no", "line", "written"), "tail", epoch)
+        kept = kept.select("source", "line_no", "line", "written", F.lit(epoch).cast("bigint").alias("epoch"))
+        run, older = merged_into(epoch)
+        if older:
+            kept = _latest(kept.unionByName(self._tail_runs(kept.sparkSession, older)))
+        kept.write.mode("overwrite").parquet(run_path(f"{self.state}/tail", run))
 
     def _staged(self, df, name):
         return staged(df, path=f"{self.state}/work/{name}")

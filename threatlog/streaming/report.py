@@ -25,24 +25,8 @@ from ..operators.groups import bounded, columns, merged, partial_groups
 from ..operators.parse import parse_logs
 from ..operators.windows import numbered_within
 from ..plans.analysis import Analysis
-from ..session import create_marker, folder_names, remove_folder
-
-#: Runs that are written together as one.
-FAN = 8
-
-
-def runs_of(epochs: int) -> list[tuple[int, int]]:
-    """The runs (first and last epoch) after so many epochs, oldest and largest first."""
-    size, found, at = 1, [], 0
-    while size * FAN <= epochs:
-        size *= FAN
-    while at < epochs:
-        while at + size > epochs:
-            size //= FAN
-        found.append((at, at + size - 1))
-        at += size
-    return found
-
+from ..session import create_marker, folder_names
+from .runs import merged_into, remove_old_runs, run_path, runs_of
 
 class LiveReport:
     """A report in a folder, kept up by a stream; one folder belongs to one checkpoint."""
@@ -79,16 +63,11 @@ class LiveReport:
             batch = self._in_arrival_order(batch, epoch)
         every = parse_logs(batch, as_of=self._options["as_of"], keep_dropped=True, **self._parse_options)
         groups = partial_groups(every, self._plan.rules, self._plan.counters)
-        run = runs_of(epoch + 1)[-1]
-        for older in runs_of(epoch):
-            if older[0] >= run[0]:
-                groups = groups.unionByName(self._read([older]))
+        run, older = merged_into(epoch)
+        groups = groups.unionByName(self._read(older))
         bounded(merged(groups)).write.mode("overwrite").partitionBy("kind").parquet(self._path(run))
         create_marker(self.spark, f"{self.folder}/commits/{epoch:012d}")
-        kept = {self._path(r) for n in (epoch, epoch + 1) for r in runs_of(n)}
-        for name in folder_names(self.spark, f"{self.folder}/runs"):
-            if f"{self.folder}/runs/{name}" not in kept:
-                remove_folder(self.spark, f"{self.folder}/runs/{name}")
+        remove_old_runs(self.spark, f"{self.folder}/runs", epoch)
 
     def analysis(self) -> Analysis:
         """The analysis of all committed lines; take it anew to see later ones."""
@@ -102,7 +81,7 @@ class LiveReport:
         return numbered.withColumn("seq", F.col("_number") + before).select(*batch.columns)
 
     def _path(self, run) -> str:
-        return f"{self.folder}/runs/{run[0]:012d}-{run[1]:012d}"
+        return run_path(f"{self.folder}/runs", run)
 
     def _read(self, runs) -> DataFrame:
         types = columns(len(self._plan.counters), self._plan.rules.free_text)
