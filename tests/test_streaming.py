@@ -221,3 +221,26 @@ def test_idle_sources_cost_nothing(spark, tmp_path, monkeypatch):
     assert {r["line_no"] for r in spark.read.parquet(f"{job.out}/alerts/epoch=3").collect()} == {2}
     assert [r["value"] for r in spark.read.text(f"{job.out}/context/epoch=3").collect()] == ["calm line", "GET /../../etc/passwd from 1.1.1.1"]
     assert written((3, 3)).count() == 2
+
+
+def test_an_epoch_that_breaks_off_between_sinks_shows_once(spark, log, tmp_path, monkeypatch):
+    from threatlog.streaming import committed_alerts, committed_lines
+    from threatlog.streaming.job import _LiveJob
+
+    attack = "GET /../x from 1.1.1.1"
+    job = _LiveJob(START, str(tmp_path / "out"), str(tmp_path / "check"), None, None, timedelta(minutes=10), None, None, {})
+    assert committed_alerts(spark, job.out).count() == committed_lines(spark, job.out).count() == 0
+    job.run(log(["calm", attack]), 0)
+    with monkeypatch.context() as patched:
+        # Alerts and their log are written, the context is not.
+        patched.setattr(job, "_context", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            job.run(log([attack, attack]), 1)
+    assert spark.read.parquet(f"{job.out}/alerts").count() == 3
+    assert committed_alerts(spark, job.out).count() == committed_lines(spark, job.out).count() == 1
+    assert [r[0] for r in committed_lines(spark, job.out, "context").collect()] == ["calm", attack]
+    for _ in range(2):  # also when Spark had not noted that it was done
+        job.run(log([attack, attack]), 1)
+        assert sorted(r["line_no"] for r in committed_alerts(spark, job.out).collect()) == [2, 3, 4]
+        assert committed_lines(spark, job.out).count() == 3
+    assert committed_lines(spark, job.out, "context").count() == 4

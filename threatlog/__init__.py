@@ -10,6 +10,7 @@ from .operators.rules import Rule, RuleSet, default_rules, rule_hits
 from .operators.stats import (
     distinct_counts,
     gate,
+    line_feed,
     line_severities,
     most_common,
     risk_band,

@@ -36,7 +36,7 @@ from ..fixed_values import (
     SQL_INJECTION,
     WEB_SHELL,
 )
-from ..functions.text import contains_any, fill, filled, joined, matches
+from ..functions.text import HINTS, contains_any, fill, filled, joined, matches
 
 HIT_COLUMNS = (
     "seq", "source", "rule_no", "rule_id", "rule_name", "level", "level_score", "description", "evidence",
@@ -165,8 +165,8 @@ def default_rules() -> RuleSet:
     everything = joined(path, message, raw)
     request = joined(path, raw)
 
-    def search(text, pattern, *hints):
-        return matches(text, pattern), hints
+    def search(text, pattern):
+        return matches(text, pattern), HINTS[pattern]
 
     def cut(text, size=EVIDENCE_CHARS):
         return F.substring(text, 1, size)
@@ -174,47 +174,20 @@ def default_rules() -> RuleSet:
     path_or_line = F.coalesce(filled(path), cut(raw, SHORT_EVIDENCE_CHARS))
     spoken = F.lower(F.coalesce(filled(message), raw))
     parts = {
-        "R001": (
-            search(
-                everything, SQL_INJECTION,
-                "select", "insert", "drop", "--", "'1'='1", "1=1", "exec", "xp_cmdshell",
-            ),
-            cut(everything),
-        ),
-        "R002": (
-            search(
-                everything, CROSS_SITE_SCRIPT,
-                "script", "onerror=", "onload=", "eval(", "alert(", "document.cookie",
-            ),
-            cut(everything),
-        ),
-        "R003": (search(request, PATH_TRAVERSAL, "..", "%2"), cut(request)),
-        "R004": (search(request, SENSITIVE_PATH, "admin", "/actuator"), path_or_line),
+        "R001": (search(everything, SQL_INJECTION), cut(everything)),
+        "R002": (search(everything, CROSS_SITE_SCRIPT), cut(everything)),
+        "R003": (search(request, PATH_TRAVERSAL), cut(request)),
+        "R004": (search(request, SENSITIVE_PATH), path_or_line),
         "R005": (
-            search(
-                raw, SCANNER,
-                "nikto", "map", "masscan", "zgrab", "nuclei", "buster",
-            ),
+            (matches(raw, SCANNER), ("nikto", "map", "masscan", "zgrab", "nuclei", "buster")),
             cut(raw),
         ),
         "R006": ((contains_any(spoken, AUTH_FAILURE_PHRASES) | status.isin(*DENIED_STATUSES), ()), cut(raw)),
         "R007": ((status >= 500, ()), cut(raw, SHORT_EVIDENCE_CHARS)),
-        "R011": (
-            search(
-                everything, FILE_INCLUSION,
-                "=http", "=ftp:", "/etc/", ".ini",
-            ),
-            cut(everything),
-        ),
-        "R012": (search(everything, COMMAND_INJECTION, ";", "&", "|", "`", "$("), cut(everything)),
-        "R013": (search(request, WEB_SHELL, ".php", ".jsp", ".aspx"), path_or_line),
-        "R014": (
-            search(
-                request, CONFIG_FILE,
-                ".env", "config", "database.yml", "settings.py", ".bak", ".sql",
-            ),
-            path_or_line,
-        ),
+        "R011": (search(everything, FILE_INCLUSION), cut(everything)),
+        "R012": (search(everything, COMMAND_INJECTION), cut(everything)),
+        "R013": (search(request, WEB_SHELL), path_or_line),
+        "R014": (search(request, CONFIG_FILE), path_or_line),
     }
 
     return RuleSet(

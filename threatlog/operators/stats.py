@@ -129,3 +129,14 @@ def search_lines(lines: DataFrame, text: str = "", limit: int = 100) -> DataFram
     """The first filled lines that contain a text, letter case ignored."""
     found = lines.where((stripped(F.col("line")) != "") & F.contains(F.lower("line"), F.lit(text.lower())))
     return found.orderBy("seq").limit(limit)
+
+
+def line_feed(lines: DataFrame, text: str = "", limit: int = 100) -> DataFrame:
+    """The first filled lines that contain a text, with their colouring class and the number of all such lines.
+
+    ``seq, line, severity, total``; letter case ignored.  The colouring patterns run on the lines shown alone.
+    """
+    found = lines.where((stripped(F.col("line")) != "") & F.contains(F.lower("line"), F.lit(text.lower())))
+    total = found.agg(F.count("*").alias("total"))  # one row
+    shown = found.select("seq", "line").orderBy("seq").limit(limit)
+    return shown.withColumn("severity", line_severity(F.col("line"))).crossJoin(F.broadcast(total))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from ..operators.parse import DROPPED, parse_logs
 from ..functions.times import wall_micros
 from ..operators.rules import counter_flags, default_rules, rule_hits
 from ..operators.windows import alert_rows, alert_steps, default_thresholds, numbered_within, peaks, ticks
-from ..session import remove_folder, staged
+from ..session import create_marker, folder_names, remove_folder, staged
 from .runs import merged_into, remove_old_runs, run_path, runs_of
 
 ALERT_COLUMNS = (
@@ -43,6 +43,10 @@ ALERT_COLUMNS = (
 )
 
 
+_ALERTS = (
+    "rule_id string, rule_name string, level string, level_score int, description string, ip string, user string, "
+    "ts timestamp_ntz, evidence string, count bigint, source string, line_no bigint"
+)
 _TAIL = "source string, line_no bigint, line string, written boolean, epoch bigint"
 
 
@@ -68,7 +72,8 @@ def start_alerts(
     """Start the live job on streaming ``line, source, seq``; returns the streaming query.
 
     Below ``out`` it writes ``alerts`` (Parquet), ``alert_log`` and ``context`` (text), one
-    ``epoch=N`` folder per micro-batch.  ``on_alert(frame, epoch)`` gets the HIGH and CRITICAL
+    ``epoch=N`` folder per micro-batch, and when all three are there, a marker in ``commits``;
+    :func:`committed_alerts` and :func:`committed_lines` read marked epochs alone.  ``on_alert(frame, epoch)`` gets the HIGH and CRITICAL
     alerts of a batch; how they are sent is the caller's business.  Within a batch the lines of a
     source are in order of ``seq``, or as read where it is NULL.  ``counters`` (name to condition
     over entries) come on top of the built-in ones; a threshold of any other is an error.
@@ -82,6 +87,22 @@ def start_alerts(
     )
 
 
+def _committed(spark: SparkSession, out: str, name: str) -> list[str]:
+    return [f"{out}/{name}/epoch={int(epoch)}" for epoch in sorted(folder_names(spark, f"{out}/commits"))]
+
+
+def committed_alerts(spark: SparkSession, out: str) -> DataFrame:
+    """The alerts of all epochs whose every output is written; one that broke off between two sinks shows in none."""
+    folders = _committed(spark, out, "alerts")
+    return spark.read.schema(_ALERTS).parquet(*folders) if folders else spark.createDataFrame([], _ALERTS)
+
+
+def committed_lines(spark: SparkSession, out: str, name: str = "alert_log") -> DataFrame:
+    """The lines of ``alert_log`` or ``context`` of the same epochs: ``line``."""
+    folders = _committed(spark, out, name)
+    return spark.read.text(folders).toDF("line") if folders else spark.createDataFrame([], "line string")
+
+
 class _LiveJob:
     def __init__(self, as_of, out, checkpoint, rules, thresholds, delay, on_alert, counters, parse_options):
         self.as_of, self.out, self.state = as_of, out, f"{checkpoint}/carried"
@@ -115,6 +136,7 @@ class _LiveJob:
         ordered = alerts.orderBy("source", "line_no", "rule_id")
         ordered.select(alert_text().alias("line")).write.mode("overwrite").text(f"{self.out}/alert_log/epoch={epoch}")
         self._context(numbered, tail, alerts, epoch)
+        create_marker(spark, f"{self.out}/commits/{epoch:012d}")
         if self.on_alert is not None:
             self.on_alert(notable(alerts), epoch)
         for name in ("ticks", "peaks"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import threatlog as tl
 from threatlog.session import scratch_folder, staged
-from threatlog.streaming import ROCKSDB, LiveReport, live_counts, start_alerts, stream_alert_steps
+from threatlog.streaming import ROCKSDB, LiveReport, committed_alerts, committed_lines, live_counts, start_alerts, stream_alert_steps
 
 from .logs import AS_OF, YEAR, lines
 
@@ -27,14 +27,18 @@ PARTS = 4
 
 
 def _in_parts(log, folder):
-    """Write the log as :data:`PARTS` files, by ``seq``, the earliest first; returns the stream that reads one at a time."""
+    """Write the log in :data:`PARTS` parts, by ``seq``, the earliest first; returns the stream that reads a part at a time.
+
+    Every part has as many files as tasks run at once, so that all of them write it, and read and parse its batch.
+    """
     spark, schema = log.sparkSession, log.schema
     log = staged(log)
     last = log.agg(F.max("seq")).first()[0] or 0
+    files = spark.sparkContext.defaultParallelism
     for n in range(PARTS):
         part = log.where(F.floor(F.col("seq") * PARTS / (last + 1)) == n)
-        part.repartition(1).write.mode("append").parquet(folder)
-    return spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(folder)
+        part.repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.option("maxFilesPerTrigger", files).schema(schema).parquet(folder)
 
 
 def _stream(spark, sf_dir):
@@ -108,7 +112,23 @@ def _live_job(spark, sf_dir):
 
 
 def stream_context_lines(spark, sf_dir):
-    return spark.read.text(f"{_live_job(spark, sf_dir)}/context").select(F.col("value").alias("line"))
+    return committed_lines(spark, _live_job(spark, sf_dir), "context")
+
+
+def stream_alerts(spark, sf_dir):
+    return committed_alerts(spark, _live_job(spark, sf_dir)).select("rule_id", "ip", "count", "line_no")
+
+
+def stream_alert_log(spark, sf_dir):
+    return committed_lines(spark, _live_job(spark, sf_dir))
+
+
+def stream_text_hits(spark, sf_dir):
+    """Text files that appear in a folder, from lines to hits per rule."""
+    folder = scratch_folder(spark)
+    _log(spark, sf_dir).select("line").write.text(folder)
+    entries = tl.parse_logs(tl.stream_logs(spark, folder), as_of=AS_OF, default_year=YEAR)
+    return _run(spark, tl.rule_hits(entries)).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 def _live_report(spark, sf_dir):
@@ -144,4 +164,7 @@ def queries():
         "stream_alert_steps": stream_alert_step_rows,
         "stream_live_counts": stream_live_counts,
         "stream_context_lines": stream_context_lines,
+        "stream_alerts": stream_alerts,
+        "stream_alert_log": stream_alert_log,
+        "stream_text_hits": stream_text_hits,
     }

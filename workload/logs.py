@@ -17,6 +17,8 @@ from threatlog import spread
 AS_OF = datetime(2024, 6, 1)
 YEAR = 2024
 
+#: 2024-01-01 00:00:00 UTC.
+_EPOCH_SECOND = 1704067200
 _SPARK_TIME = "timestampadd(SECOND, CAST(event_id div 10 AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00')"
 _DUCK_TIME = "(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(event_id // 10))"
 
@@ -63,6 +65,10 @@ _DELIMITED = """concat({long}, '|10.2.0.', {u}, '|', CASE WHEN event_type = 'pur
     event_type, '|', CASE WHEN event_type = 'error' THEN '404' ELSE '200' END, '|note ', CAST(event_id % 7 AS VARCHAR(10)))"""
 
 
+_EPOCH = """concat('{{"client_ip": "10.1.0.', {u}, '", "uri": "/', event_type, '", "time": ', {epoch},
+    CASE event_id % 3 WHEN 0 THEN '000' WHEN 1 THEN '' ELSE '.5' END, '}}')"""
+
+
 def _parts(engine):
     text = _spark if engine == "spark" else _duck
     spark = engine == "spark"
@@ -71,11 +77,12 @@ def _parts(engine):
         "clf": text("dd/MMM/yyyy:HH:mm:ss" if spark else "%d/%b/%Y:%H:%M:%S"),
         "short": text("MMM dd HH:mm:ss" if spark else "%b %d %H:%M:%S"),
         "long": text("yyyy-MM-dd HH:mm:ss" if spark else "%Y-%m-%d %H:%M:%S"),
+        "epoch": f"CAST({_EPOCH_SECOND} + {'event_id div 10' if spark else 'event_id // 10'} AS VARCHAR(10))",
         "iso": text("yyyy-MM-dd\\'T\\'HH:mm:ss" if spark else "%Y-%m-%dT%H:%M:%S"),
     }
 
 
-_KINDS = {"access": _ACCESS, "mixed": _MIXED, "delimited": _DELIMITED}
+_KINDS = {"access": _ACCESS, "mixed": _MIXED, "delimited": _DELIMITED, "epoch": _EPOCH}
 
 
 def duck_lines(kind: str) -> str:

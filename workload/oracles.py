@@ -336,9 +336,10 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (level = 'CRITICAL') AS critical, count(*) FILTER (level = 'HIGH') AS high, count(*) FILTER (level = 'MEDIUM') AS medium FROM threats""",
         ),
         "threat_details": _with(
-            _HITS + """, texts AS (SELECT rule_no, rule_id, ip, "user", evidence, min(line_no) AS s FROM hits GROUP BY ALL),
+            _HITS + ", " + _BURSTS[len(_ENTRIES) + 2:] + """, texts AS (SELECT rule_no, rule_id, ip, "user", evidence, min(line_no) AS s FROM hits GROUP BY ALL),
             two AS (SELECT *, row_number() OVER (PARTITION BY rule_no, ip, "user" ORDER BY s) AS r FROM texts)""",
-            """SELECT rule_id, ip, "user", string_agg(evidence[1:120], ' || ' ORDER BY s) AS evidence FROM two WHERE r <= 2 GROUP BY rule_id, ip, "user" """,
+            """SELECT rule_id, ip, "user", string_agg(evidence[1:120], ' || ' ORDER BY s) AS evidence FROM two WHERE r <= 2 GROUP BY rule_id, ip, "user"
+            UNION ALL SELECT rule_id, ip, NULL, evidence[1:120] FROM bursts""",
         ),
         "playbook_join": _with(
             _MERGED,
@@ -394,6 +395,24 @@ def oracle_sql() -> dict[str, str]:
     found["context_of_files"] = _with(
         _CONTEXT, "SELECT n AS line_no, line FROM (SELECT *, row_number() OVER (ORDER BY line_no) AS n FROM near) WHERE keep = 1"
     )
+    alert = "'[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] [' || level || '] ' || rule_name || ' - IP: ' || ip || ' - ' || description"
+    place = "line_no - (SELECT min(line_no) FROM log) + 1 AS line_no"
+    found["stream_alerts"] = _with(
+        _HITS + ", " + _STEPS[len(_ENTRIES) + 2:],
+        f"SELECT rule_id, ip, CAST(1 AS BIGINT) AS count, {place} FROM hits UNION ALL SELECT rule_id, ip, count, {place} FROM steps",
+    )
+    found["stream_alert_log"] = _with(
+        _HITS + ", " + _STEPS[len(_ENTRIES) + 2:], f"SELECT {alert} AS line FROM hits UNION ALL SELECT {alert} FROM steps"
+    )
+    found["stream_text_hits"] = found["rule_hit_counts"]
+    found["parse_epoch_times"] = _with(
+        f"log AS ({duck_lines('epoch')})",
+        """SELECT line_no AS seq, line->>'$.client_ip' AS ip, line->>'$.uri' AS path,
+        strftime(make_timestamp(1704067200000000 + (line_no // 10) * 1000000 + CASE line_no % 3 WHEN 2 THEN 500000 ELSE 0 END), '%Y-%m-%d %H:%M:%S.%g') AS ts FROM log""",
+    )
+    found["line_feed"] = _with(
+        _LOG, f"SELECT line_no AS seq, line, {_severity('line')} AS severity, count(*) OVER () AS total FROM log WHERE contains(lower(line), 'etc') ORDER BY line_no LIMIT 100"
+    )
     # The same rows by another way.
     same = {"composed_threats": "merged_threats", "stream_threats": "merged_threats", "stream_report": "summary_report"}
     return found | {name: found[of] for name, of in same.items()}

@@ -97,6 +97,10 @@ def parse_json(spark, sf_dir):
 _LAYOUT = tl.DelimitedLayout("|", ip_col=1, ts_col=0, method_col=2, path_col=3, status_col=4, msg_col=5)
 
 
+def parse_epoch_times(spark, sf_dir):
+    return _entries(spark, sf_dir, "epoch").select("seq", "ip", "path", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"))
+
+
 def parse_delimited(spark, sf_dir):
     tl.tune(spark)
     entries = tl.parse_logs(lines(spark, sf_dir, "delimited"), as_of=AS_OF, layout=_LAYOUT)
@@ -135,6 +139,10 @@ def line_search(spark, sf_dir):
     return tl.search_lines(_access(spark, sf_dir), "SQLMAP").select("seq", "line")
 
 
+def line_feed(spark, sf_dir):
+    return tl.line_feed(_access(spark, sf_dir), "etc").select("seq", "line", "severity", "total")
+
+
 def peak_windows(spark, sf_dir):
     return tl.peak_windows(_entries(spark, sf_dir)).select(
         "counter", "ip", "peak", _time("window_start"), _time("window_end"), "first_seq"
@@ -279,8 +287,7 @@ def report_document(spark, sf_dir):
 
 
 def threat_details(spark, sf_dir):
-    rows = tl.merge_threats(_hits(spark, sf_dir))
-    return tl.threat_details(rows).select("rule_id", "ip", "user", _joined("evidence"))
+    return tl.threat_details(_threats(spark, sf_dir)).select("rule_id", "ip", "user", _joined("evidence"))
 
 
 def playbook_join(spark, sf_dir):
@@ -358,8 +365,8 @@ def custom_threshold(spark, sf_dir):
 
 
 _QUERIES = (
-    rendered_lines, parse_access, parse_ssh, parse_syslog, parse_generic, parse_json, parse_delimited,
-    parse_mixed_dispatch, parse_quality, rule_hits, rule_hit_counts, mixed_rule_hit_counts, line_severity, line_search,
+    rendered_lines, parse_access, parse_ssh, parse_syslog, parse_generic, parse_json, parse_epoch_times, parse_delimited,
+    parse_mixed_dispatch, parse_quality, rule_hits, rule_hit_counts, mixed_rule_hit_counts, line_severity, line_search, line_feed,
     peak_windows, threshold_threats, throttled_alert_steps, alert_trigger_rows, context_lines, context_of_files, merged_threats,
     one_scan_threats, composed_threats, ranked_threats, threats_of_level, threats_by_level, severity_matrix, risk_score, gate, top_ips,
     top_paths, bar_shares, status_counts, timeline_hhmm, timeline_minute, timeline_stats, distinct_counts,
