@@ -47,12 +47,6 @@ def with_mark(rows: DataFrame, key: str, keys: DataFrame, mark: str) -> DataFram
     return placed.withColumn(mark, known).select(*rows.columns, mark)
 
 
-def remove_table(spark: SparkSession, path: str) -> None:
-    """Removes a table of the scratch folder that nothing reads any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def slices(batches, rows: int = 256):
     """Batches in short slices, so that what is made of few texts is held at a time; unused buffers are given back."""
     import pyarrow as pa
