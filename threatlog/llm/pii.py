@@ -267,7 +267,7 @@ def personal_data(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     """``id``, ``text_hash``, ``base`` and ``added``: spans (kind number, s, e), by kind, then start; one row per document and text.
 
     The text is scanned once; what follows works on a table of spans and tokens.  Null texts and texts
-    without a span have empty arrays.  Rows equal in id and text give one row; a null id stays null.
+    without a span have empty arrays.  Equal rows give a row each; a null id stays null.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = _occurrences(base_spans(rows))

@@ -210,7 +210,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     """One row per document: id, ``p_low_quality``, ``p_toxic``, ``toxic`` (boolean).
 
     The chain is low quality, then toxic, learned from ``labels`` (quality 0/1, toxic 0/1).  Without
-    labels nothing is toxic.  Held-out clean documents stay far below the threshold (see the README).
+    labels nothing is toxic.  Held-out clean documents stay far below the threshold (see the README).  Equal rows and
+    rows with one id give a row each, by their own text; a null id stays null.
     """
     chain = learn_toxicity(docs, labels, id_col, text_col)
     scored = predict_chain(docs, chain, ("p_low_quality", "p_toxic"), text_col, (id_col,))
