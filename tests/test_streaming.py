@@ -244,3 +244,102 @@ def test_an_epoch_that_breaks_off_between_sinks_shows_once(spark, log, tmp_path,
         assert sorted(r["line_no"] for r in committed_alerts(spark, job.out).collect()) == [2, 3, 4]
         assert committed_lines(spark, job.out).count() == 3
     assert committed_lines(spark, job.out, "context").count() == 4
+
+
+def test_a_source_that_lags_behind_has_its_bursts(spark, log, tmp_path, keyed_state):
+    """Over four batches: failures of a day ago beside many current ones, of another address and of the same."""
+    day = 86_400
+    texts = []
+    for n in range(4):
+        texts += [line(30 * n + k, "1.1.1.1") for k in range(20)]
+        texts += [line(30 * n + k - day, ip) for ip in ("2.2.2.2", "3.3.3.3") for k in range(2)]
+        texts += [line(30 * n + k, "3.3.3.3", 200, "/") for k in range(20)]
+    rows = list(enumerate(texts, start=1))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(4):
+        write_file(folder, f"{n}.txt", rows[n * len(rows) // 4 : (n + 1) * len(rows) // 4], 1_700_000_000 + n)
+    steps = tl.alert_steps(tl.ticks(tl.parse_logs(log(texts), as_of=START))).collect()
+    expected = sorted((r["rule_id"], r["ip"], r["count"]) for r in steps)
+    assert {("R008", "2.2.2.2", 5), ("R008", "3.3.3.3", 5)} < set(expected)
+    start_alerts(stream_of(spark, folder), as_of=START, out=str(tmp_path / "out"), checkpoint=str(tmp_path / "c")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out/alerts")).where("rule_id in ('R008', 'R009', 'R010')").collect()
+    assert sorted((r["rule_id"], r["ip"], r["count"]) for r in found) == expected
+    drain(stream_alert_steps(tl.parse_logs(stream_of(spark, folder), as_of=START)), tmp_path / "steps", tmp_path / "c2")
+    found = spark.read.parquet(str(tmp_path / "steps")).collect()
+    assert sorted((r["rule_id"], r["ip"], r["count"]) for r in found) == expected
+
+
+def test_counts_of_lagging_lines_go_when_none_come(spark, tmp_path, monkeypatch):
+    from threatlog.streaming import job as module
+
+    now = [1_000_000.0]
+    monkeypatch.setattr(module, "time", lambda: now[0])
+    job = module._LiveJob(START, str(tmp_path / "out"), str(tmp_path / "check"), None, None, timedelta(minutes=10), None, None, {})
+    frame = lambda texts: spark.createDataFrame([(t, "s", n) for n, t in enumerate(texts)], "line string, source string, seq bigint")
+    current = [line(n, "1.1.1.1") for n in range(9)]
+    kept = lambda epoch: {r["ip"] for r in spark.read.parquet(f"{job.state}/ticks/epoch={epoch}").collect()}
+    job.run(frame([line(-86_400, "2.2.2.2"), *current]), 0)
+    assert kept(0) == {"1.1.1.1", "2.2.2.2"}
+    now[0] += 14 * 60
+    job.run(frame(current), 1)
+    assert kept(1) == {"1.1.1.1", "2.2.2.2"}
+    now[0] += 2 * 60
+    job.run(frame(current), 2)
+    assert kept(2) == {"1.1.1.1"}
+
+
+def delimited_lines(count, by="|"):
+    return [by.join([f"2026-05-20T10:00:{n % 60:02d}", f"10.2.0.{n % 3}", "POST", "/login", "401", f"note {n}"]) for n in range(count)]
+
+
+def test_layout_found_on_the_first_lines(spark, log, tmp_path):
+    from threatlog.streaming import PrefixLayout
+
+    texts = ["# a comment", "", *delimited_lines(12, ";")]
+    prefix = PrefixLayout(str(tmp_path / "state"), 5)
+    # Numbers begin anew in each batch; what waits stays before what follows.
+    batches = [texts[:4], [], texts[4:9], texts[9:]]
+    sent = []
+    for epoch, part in enumerate(batches):
+        for _ in range(1 + (epoch == 2)):  # the batch that decides is run again
+            lines, layout = prefix.settle(log(part), epoch)
+            got = [r["line"] for r in lines.orderBy("seq").collect()]
+        sent.append(got)
+        assert (layout is None) == (epoch < 2)
+    assert sent == [[], [], texts[:9], texts[9:]]
+    assert layout == tl.DelimitedLayout(";", ip_col=1, ts_col=0, method_col=2, path_col=3, status_col=4, msg_col=5)
+    # A new object goes on with what the folder holds.
+    lines, again = PrefixLayout(str(tmp_path / "state"), 5).settle(log([texts[2]]), 4)
+    assert again == layout and lines.count() == 1
+
+
+def test_layouts_that_change_nothing(spark, log, tmp_path):
+    from threatlog.streaming import PrefixLayout
+
+    access, odd = [line(n, "1.1.1.1") for n in range(3)], ['{"ip": "1.1.1.1"}'] * 3
+    assert PrefixLayout(str(tmp_path / "a"), 2).settle(log(access), 0)[1] == "known"
+    assert PrefixLayout(str(tmp_path / "b"), 2).settle(log(odd), 0)[1] == "json"
+    lines, layout = PrefixLayout(str(tmp_path / "c"), 2).settle(log([]), 0)
+    assert lines.count() == 0 and layout is None
+    with pytest.raises(ValueError):
+        PrefixLayout(str(tmp_path / "d"), 0)
+
+
+def test_live_job_finds_a_layout_and_loses_no_line(spark, log, tmp_path):
+    texts = delimited_lines(24)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    rows = list(enumerate(texts, start=1))
+    for n, part in enumerate((rows[:7], rows[7:20], rows[20:])):
+        write_file(folder, f"{n}.txt", part, 1_700_000_000 + n)
+    start_alerts(
+        stream_of(spark, folder), as_of=START, out=str(tmp_path / "out"), checkpoint=str(tmp_path / "c"), layout_lines=15,
+    ).awaitTermination()
+    layout = tl.infer_layout(log(texts))
+    entries = tl.parse_logs(log(texts), as_of=START, layout=layout)
+    steps = tl.alert_rows(entries, tl.alert_steps(tl.ticks(entries))).select("rule_id", "seq")
+    expected = sorted(tuple(r) for r in tl.rule_hits(entries).select("rule_id", "seq").union(steps).collect())
+    assert any(rule == "R008" for rule, _ in expected)
+    found = spark.read.parquet(str(tmp_path / "out/alerts")).collect()
+    assert sorted((r["rule_id"], r["line_no"]) for r in found) == expected

@@ -31,7 +31,8 @@ def stream_alert_steps(
 
     No row is dropped for its time: an address keeps its counts from one window and ``delay`` before the
     middle of the read times it knows, so neither a line of the future nor one without a time (which all
-    count at their stand-in) moves them.  An address is forgotten when nothing has come from it for
+    count at their stand-in) moves them, and those that rows came for within that span of real time,
+    so that lines which lag behind have their bursts.  An address is forgotten when nothing has come from it for
     ``idle`` of real time.  An alert's ``ts`` is the first time whose window reaches the step in the rows
     known by then.  ``counters`` come on top of the built-in ones; a threshold of any other is an error.
 
@@ -98,7 +99,9 @@ class _Bursts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._recent = handle.getValueState("recent", "at array<bigint>, read array<boolean>, n array<bigint>")
+        self._recent = handle.getValueState(
+            "recent", "at array<bigint>, read array<boolean>, n array<bigint>, came_ms array<bigint>"
+        )
         # One peak per rule: rules of one counter may differ in their window.
         self._peaks = handle.getMapState("peaks", "rule_no int", "peak bigint")
 
@@ -113,11 +116,12 @@ class _Bursts(StatefulProcessor):
         longest = max(r[4] for r in rules)
         rows = list(rows)
         now = max(int(frame["arrived_ms"].max()) for frame in rows)
-        arrived = pd.concat([frame[["at", "read", "n"]] for frame in rows])
+        names = ["at", "read", "n", "came_ms"]
+        arrived = pd.concat(rows).rename(columns={"arrived_ms": "came_ms"})[names]
         if self._recent.exists():
-            at, read, n = self._recent.get()
-            arrived = pd.concat([arrived, pd.DataFrame({"at": list(at), "read": list(read), "n": list(n)})])
-        known = arrived.groupby(["at", "read"], sort=True, as_index=False)["n"].sum()
+            before = pd.DataFrame({name: list(kept) for name, kept in zip(names, self._recent.get())})
+            arrived = pd.concat([arrived, before])
+        known = arrived.groupby(["at", "read"], sort=True, as_index=False).agg({"n": "sum", "came_ms": "max"})
         total = known.groupby("at", sort=True)["n"].sum()
         at, n = total.index.to_numpy(np.int64), total.to_numpy(np.int64)
         upto = np.cumsum(n)
@@ -135,9 +139,10 @@ class _Bursts(StatefulProcessor):
         timed = known[known["read"]]
         if len(timed):
             rank = np.searchsorted(timed["n"].cumsum().to_numpy(), (timed["n"].sum() + 1) // 2)
-            oldest = int(timed["at"].iloc[rank]) - self._delay - longest
-            known = known[~known["read"] | (known["at"] >= oldest)]
-        self._recent.update((known["at"].tolist(), known["read"].tolist(), known["n"].tolist()))
+            span = self._delay + longest
+            oldest = int(timed["at"].iloc[rank]) - span
+            known = known[~known["read"] | (known["at"] >= oldest) | (known["came_ms"] >= now - span // 1000)]
+        self._recent.update(tuple(known[name].tolist() for name in names))
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
         self._handle.registerTimer(now + self._idle)

@@ -3,8 +3,9 @@
 Each micro-batch goes through the batch operators together with a little carried state,
 which is written as tables next to the checkpoint, one folder per epoch:
 
-* ``ticks``: counts no older than one window and ``delay`` before the middle of the times known, and
-  those of lines without a readable time, which all count at ``as_of``;
+* ``ticks``: counts no older than one window and ``delay`` before the middle of the times known, those that lines
+  came for within that span of real time, whatever their times, and those of lines without a readable time,
+  which all count at ``as_of``;
 * ``peaks``: the peak of every address that has alerted;
 * ``tail``: the last fourteen lines of every source, in runs (:mod:`threatlog.streaming.runs`): an epoch writes those
   of the sources that sent lines, and reads those of the same sources.
@@ -12,7 +13,8 @@ which is written as tables next to the checkpoint, one folder per epoch:
 Intermediate tables are replaced by the next batch, state older than one epoch is removed.
 
 No line is dropped for its time: a late one counts among what is still known.  As the middle of
-the times moves the state on, not the newest, a line dated in the future moves nothing.
+the times moves the state on, not the newest, a line dated in the future moves nothing.  A source that
+lags behind the others, by hours or days, has its bursts too: its counts stay for as long as its lines come.
 
 A batch that is run again after a failure reads the state of the epoch before it and
 overwrites its own output, so every alert and line is written once.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from time import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,6 +38,7 @@ from ..functions.times import wall_micros
 from ..operators.rules import counter_flags, default_rules, rule_hits
 from ..operators.windows import alert_rows, alert_steps, default_thresholds, numbered_within, peaks, ticks
 from ..session import create_marker, folder_names, remove_folder, staged
+from .layouts import PrefixLayout
 from .runs import merged_into, remove_old_runs, run_path, runs_of
 
 ALERT_COLUMNS = (
@@ -67,6 +71,7 @@ def start_alerts(
     on_alert: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
     counters: dict | None = None,
+    layout_lines: int | None = None,
     **parse_options,
 ):
     """Start the live job on streaming ``line, source, seq``; returns the streaming query.
@@ -76,9 +81,10 @@ def start_alerts(
     :func:`committed_alerts` and :func:`committed_lines` read marked epochs alone.  ``on_alert(frame, epoch)`` gets the HIGH and CRITICAL
     alerts of a batch; how they are sent is the caller's business.  Within a batch the lines of a
     source are in order of ``seq``, or as read where it is NULL.  ``counters`` (name to condition
-    over entries) come on top of the built-in ones; a threshold of any other is an error.
+    over entries) come on top of the built-in ones; a threshold of any other is an error.  With ``layout_lines``
+    the layout is found on so many first lines, which wait until all of them came (:class:`PrefixLayout`).
     """
-    job = _LiveJob(as_of, out, checkpoint, rules, thresholds, delay, on_alert, counters, parse_options)
+    job = _LiveJob(as_of, out, checkpoint, rules, thresholds, delay, on_alert, counters, parse_options, layout_lines)
     return (
         lines.writeStream.foreachBatch(job.run)
         .option("checkpointLocation", checkpoint)
@@ -104,10 +110,16 @@ def committed_lines(spark: SparkSession, out: str, name: str = "alert_log") -> D
 
 
 class _LiveJob:
-    def __init__(self, as_of, out, checkpoint, rules, thresholds, delay, on_alert, counters, parse_options):
+    def __init__(
+        self, as_of, out, checkpoint, rules, thresholds, delay, on_alert, counters, parse_options, layout_lines=None
+    ):
         self.as_of, self.out, self.state = as_of, out, f"{checkpoint}/carried"
         self.rules, self.thresholds = rules, tuple(thresholds or default_thresholds())
         self.delay, self.on_alert, self.parse_options = delay, on_alert, parse_options
+        self.prefix = None
+        if layout_lines is not None:
+            strict = parse_options.get("strict_compat", False)
+            self.prefix = PrefixLayout(f"{self.state}/layout", layout_lines, strict)
         self.counters = counter_flags() | (counters or {})
         unknown = {r.counter for r in self.thresholds} - set(self.counters)
         if unknown:
@@ -116,11 +128,15 @@ class _LiveJob:
     def run(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rules = self.rules or default_rules()
+        options = self.parse_options
+        if self.prefix is not None:
+            batch, layout = self.prefix.settle(batch, epoch)
+            options = options | {"layout": layout}
         tail = self._tail(batch, epoch)
         numbered = self._staged(self._number(batch, tail), "numbered")
         everything = parse_logs(
             numbered.select("line", "source", F.col("line_no").alias("seq")),
-            as_of=self.as_of, keep_dropped=True, **self.parse_options,
+            as_of=self.as_of, keep_dropped=True, **options,
         )
         entries = self._staged(everything.where(F.col("format") != DROPPED), "entries")
 
@@ -167,13 +183,14 @@ class _LiveJob:
         )
 
     def _bursts(self, spark, entries, epoch):
-        schema = "counter string, ip string, ts timestamp_ntz, n bigint, first_seq bigint"
+        schema = "counter string, ip string, ts timestamp_ntz, n bigint, first_seq bigint, came_ms bigint"
+        now_ms = int(time() * 1000)
         before = self._carried(spark, "ticks", epoch, schema)
         known = self._carried(spark, "peaks", epoch, "counter string, ip string, window bigint, peak bigint")
-        fresh = ticks(entries, self.counters)
+        fresh = ticks(entries, self.counters).withColumn("came_ms", F.lit(now_ms).cast("bigint"))
         recent = self._staged(
             before.unionByName(fresh).groupBy("counter", "ip", "ts")
-            .agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq")),
+            .agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"), F.max("came_ms").alias("came_ms")),
             "recent",
         )
         windows = list(dict.fromkeys(r.window for r in self.thresholds))
@@ -212,7 +229,8 @@ class _LiveJob:
             kept = recent
         else:
             span = (self.delay + max(windows)) // timedelta(microseconds=1)
-            kept = recent.where(stand_in | (wall_micros(F.col("ts")) >= middle - span))
+            near = wall_micros(F.col("ts")) >= middle - span
+            kept = recent.where(stand_in | near | (F.col("came_ms") >= now_ms - span // 1000))
         self._carry(kept, "ticks", epoch)
         return alert_rows(entries, new, self.counters, folder=f"{self.state}/work/alerting").withColumns(
             {"user": F.lit(None).cast("string"), "line_no": F.col("seq")}

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 import threatlog as tl
 from threatlog.session import scratch_folder, staged
-from threatlog.streaming import ROCKSDB, LiveReport, committed_alerts, committed_lines, live_counts, start_alerts, stream_alert_steps
+from threatlog.streaming import (
+    ROCKSDB, LiveReport, committed_alerts, committed_lines, live_counts, start_alerts, start_entries, stream_alert_steps,
+)
 
 from .logs import AS_OF, YEAR, lines
 
@@ -131,6 +133,21 @@ def stream_text_hits(spark, sf_dir):
     return _run(spark, tl.rule_hits(entries)).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+def stream_delimited(spark, sf_dir):
+    """A delimited log whose layout is found on its first third, which takes two micro-batches to come."""
+    from .queries import delimited_columns
+
+    tl.tune(spark)
+    log = lines(spark, sf_dir, "delimited").select("line", "source", "seq")
+    folder, out, checkpoint = (scratch_folder(spark) for _ in range(3))
+    query = start_entries(
+        _in_parts(log, folder), as_of=AS_OF, out=out, checkpoint=checkpoint, layout_lines=max(1, log.count() // 3),
+        select=lambda entries: entries.select(*delimited_columns()),
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out).drop("epoch")
+
+
 def _live_report(spark, sf_dir):
     """The report of a log that comes in quarters, not in order; each run starts anew from the checkpoint."""
     folder, out, checkpoint = (scratch_folder(spark) for _ in range(3))
@@ -167,4 +184,5 @@ def queries():
         "stream_alerts": stream_alerts,
         "stream_alert_log": stream_alert_log,
         "stream_text_hits": stream_text_hits,
+        "stream_delimited": stream_delimited,
     }

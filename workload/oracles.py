@@ -229,6 +229,40 @@ near AS (SELECT line_no, line, max(CAST(alerting AS INTEGER)) OVER (ORDER BY lin
 _MINUTES = "minutes AS (SELECT strftime(ts, '%H:%M') AS minute, count(*) AS n FROM ent GROUP BY minute)"
 
 
+def _layouts(status_needs: str) -> str:
+    """The layouts of the delimited log, from its lines: features of each column, then roles from left to right.
+
+    ``status_needs``: what a status column needs besides that its all-digit values are statuses.
+    """
+    fits = (
+        ("ip", "any_ip"), ("method", "any_method"), ("status", f"all_status AND {status_needs}"), ("path", "any_path"), ("ts", "any_time"),
+    )
+    roles = ", ".join(f"CASE WHEN {test} THEN '{role}' END" for role, test in fits)
+    column = lambda role: f"CAST(list_position(taken, '{role}') - 1 AS INTEGER) AS {role}_col"
+    counts = ", ".join(
+        f"min(len(line) - len(replace(line, {d}, ''))) AS lo{i}, max(len(line) - len(replace(line, {d}, ''))) AS hi{i}"
+        for i, d in enumerate(("'|'", "','", "chr(9)", "';'"))
+    )
+    even = " ".join(f"WHEN lo{i} > 0 AND lo{i} = hi{i} THEN {d}" for i, d in enumerate(("'|'", "','", "chr(9)", "';'")))
+    some = " ".join(f"WHEN lo{i} > 0 THEN {d}" for i, d in reversed(list(enumerate(("'|'", "','", "chr(9)", "';'")))))
+    return f"""WITH RECURSIVE log AS (SELECT w AS written, line_no, replace(line, '|', w) AS line FROM ({duck_lines('delimited')}), unnest(['|', ',', chr(9), ';', ' ']) AS u(w)),
+    picked AS (SELECT written, CASE {even} {some} ELSE ' ' END AS delimiter FROM (SELECT written, {counts} FROM log GROUP BY written)),
+    parts AS (SELECT written, delimiter, CASE WHEN delimiter = ' ' THEN string_split_regex(trim(line), '\\s+') ELSE string_split(line, delimiter) END AS p FROM log JOIN picked USING (written)),
+    tok AS (SELECT written, CAST(i - 1 AS INTEGER) AS position, trim(p[i]) AS t FROM parts, unnest(range(1, len(p) + 1)) AS u(i)),
+    cols AS (SELECT written, position, count(*) AS n, bool_or(regexp_matches(t, {_IP})) AS any_ip, bool_or(regexp_matches(t, {_text('(?i)' + fv.METHOD_TOKEN)})) AS any_method,
+        bool_or(regexp_matches(t, '^\\d+$')) AS any_digits, bool_and(NOT regexp_matches(t, '^\\d+$') OR regexp_matches(t, {_text(fv.STATUS_TOKEN)})) AS all_status,
+        bool_or(regexp_matches(t, {_text(fv.PATH_TOKEN)})) AS any_path, bool_or(regexp_matches(t, '[-/:]') AND regexp_matches(t, '\\d')) AS any_time
+        FROM tok GROUP BY written, position QUALIFY n = max(n) OVER (PARTITION BY written)),
+    fit AS (SELECT written, position, [x FOR x IN [{roles}] IF x IS NOT NULL] AS fits FROM cols),
+    walk AS (SELECT written, CAST(-1 AS INTEGER) AS position, CAST([] AS VARCHAR[]) AS taken FROM picked
+        UNION ALL SELECT w.written, f.position, list_append(w.taken, coalesce(([x FOR x IN f.fits IF NOT list_contains(w.taken, x)])[1], '-'))
+        FROM walk w JOIN fit f ON f.written = w.written AND f.position = w.position + 1),
+    whole AS (SELECT written, taken FROM walk QUALIFY position = max(position) OVER (PARTITION BY written))
+    SELECT written, delimiter, {column('ip')}, {column('ts')}, {column('method')}, {column('path')}, {column('status')},
+        CAST(nullif(len(taken) - list_position(list_reverse(taken), '-'), len(taken)) AS INTEGER) AS msg_col
+    FROM whole JOIN picked USING (written)"""
+
+
 def oracle_sql() -> dict[str, str]:
     e = _ENTRIES
     mixed_entry = f"""SELECT line_no AS seq, format, {_time(_BY_FORMAT)} AS ts,
@@ -375,7 +409,6 @@ def oracle_sql() -> dict[str, str]:
             bool_or(regexp_matches(t, {_text(fv.PATH_TOKEN)})) AS any_path, bool_or(regexp_matches(t, '[-/:]') AND regexp_matches(t, '\\d')) AS any_time
             FROM tok GROUP BY position""",
         ),
-        "inferred_layout": "SELECT 'delimited' AS kind, '|' AS delimiter, 1 AS ip_col, 0 AS ts_col, 2 AS method_col, 3 AS path_col, 4 AS status_col, 5 AS msg_col FROM events LIMIT 1",
         "custom_rule": _with(
             e, """SELECT 'C001' AS rule_id, ip, "user", count(*) AS count, min(line_no) AS first_seq FROM ent WHERE method = 'POST' AND status >= 200 AND path LIKE '/purchase%' GROUP BY ip, "user" """
         ),
@@ -405,6 +438,9 @@ def oracle_sql() -> dict[str, str]:
         _HITS + ", " + _STEPS[len(_ENTRIES) + 2:], f"SELECT {alert} AS line FROM hits UNION ALL SELECT {alert} FROM steps"
     )
     found["stream_text_hits"] = found["rule_hit_counts"]
+    found["stream_delimited"] = found["parse_delimited"]
+    found["inferred_layouts"] = _layouts("true")
+    found["inferred_layout"] = f"SELECT 'delimited' AS kind, * EXCLUDE (written) FROM ({_layouts('any_digits')}) WHERE written = '|'"
     found["parse_epoch_times"] = _with(
         f"log AS ({duck_lines('epoch')})",
         """SELECT line_no AS seq, line->>'$.client_ip' AS ip, line->>'$.uri' AS path,

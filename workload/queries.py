@@ -101,10 +101,14 @@ def parse_epoch_times(spark, sf_dir):
     return _entries(spark, sf_dir, "epoch").select("seq", "ip", "path", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"))
 
 
+def delimited_columns():
+    return ["seq", _time("ts"), "ip", "method", "path", "status", "message"]
+
+
 def parse_delimited(spark, sf_dir):
     tl.tune(spark)
     entries = tl.parse_logs(lines(spark, sf_dir, "delimited"), as_of=AS_OF, layout=_LAYOUT)
-    return entries.select("seq", _time("ts"), "ip", "method", "path", "status", "message")
+    return entries.select(*delimited_columns())
 
 
 def parse_mixed_dispatch(spark, sf_dir):
@@ -334,6 +338,10 @@ def column_stats(spark, sf_dir):
     return tl.column_stats(lines(spark, sf_dir, "delimited"), "|")
 
 
+_ROLES = ("delimiter", "ip_col", "ts_col", "method_col", "path_col", "status_col", "msg_col")
+_DELIMITERS = (",", "\t", ";", " ")
+
+
 def inferred_layout(spark, sf_dir):
     layout = tl.infer_layout(lines(spark, sf_dir, "delimited"), sample_lines=None)
     found = ("delimiter", "ip_col", "ts_col", "method_col", "path_col", "status_col", "msg_col")
@@ -343,6 +351,16 @@ def inferred_layout(spark, sf_dir):
     )
 
 
+def inferred_layouts(spark, sf_dir):
+    """The layout of the delimited log, written with each delimiter, by the rules of ``strict_compat``."""
+    log, found = lines(spark, sf_dir, "delimited"), []
+    for delimiter in ("|", *_DELIMITERS):
+        written = log.withColumn("line", F.translate("line", "|", delimiter))
+        layout = tl.infer_layout(written, strict_compat=True)
+        found.append((delimiter, *[getattr(layout, name) for name in _ROLES]))
+    return spark.createDataFrame(found, "written string, " + ", ".join(f"{name} {'string' if name == 'delimiter' else 'int'}" for name in _ROLES))
+
+
 def custom_rule(spark, sf_dir):
     rule = tl.Rule(
         "C001", "Purchase by form", "INFO",
@@ -372,7 +390,7 @@ _QUERIES = (
     top_paths, bar_shares, status_counts, timeline_hhmm, timeline_minute, timeline_stats, distinct_counts,
     summary_report, stat_tiles, report_document, threat_details, playbook_join, evidence_marked, alert_lines,
     notable_alerts, ip_extraction, page_script_scan, conversation_severity, delimiter_stats, column_stats,
-    inferred_layout, custom_rule, custom_threshold,
+    inferred_layout, inferred_layouts, custom_rule, custom_threshold,
 )
 
 
