@@ -117,3 +117,31 @@ def test_bounded_leaves_other_groups(spark):
     assert {r[0]: r[1] for r in found.groupBy("kind").count().collect()} == {"evidence": 5, "path": 20, "tick": 20}
     assert found.where("kind = 'evidence'").agg(F.max("first_seq")).first()[0] == 4
     assert as_grouped(found, False).count() == 5
+
+
+def test_a_task_holds_groups_by_rows_and_bytes(monkeypatch):
+    """Long paths, each once, and short ones: what waits and what is held stay small whatever a task reads."""
+    types = columns(0, False)
+    for path, rows in (("x" * 20_000, 60), ("x", 4000)):
+        held = groups._Groups(types)
+        monkeypatch.setattr(groups, "WAITING_BYTES", 1 << 20)
+        monkeypatch.setattr(groups, "HELD_BYTES", 1 << 21)
+        most, sent = 0, 0
+        for n in range(40):
+            first = pa.array(range(n * rows, (n + 1) * rows), pa.int64())
+            given = {"kind": pa.array(["path"] * rows), "text": pa.array([f"{path}{i}" for i in first.to_pylist()])}
+            sent += sum(b.num_rows for b in held.add(held.table(rows, n=pa.array([1] * rows, pa.int64()), first_seq=first, **given)))
+            most = max(most, sum(t.nbytes for t in held.waiting))
+        sent += sum(b.num_rows for b in held.flush())
+        assert sent == 40 * rows and not held.waiting
+        assert most <= (1 << 20) + (1 << 21) + 2 * rows * (len(path) + 200)
+
+
+def test_no_rows_start_no_python(spark):
+    from threatlog.session import no_rows
+
+    types = columns(3, True)
+    empty = no_rows(spark, ", ".join(f"`{name}` {kind}" for name, kind in types.items()))
+    assert dict(empty.dtypes) == types and empty.count() == 0
+    both = spark.range(3).select(F.col("id").alias("n")).unionByName(empty.select("n"))
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString() and both.count() == 3

@@ -32,7 +32,9 @@ from .rules import RuleSet, candidate_hits, sure_hits
 
 KEYS = ("kind", "rule_no", "ip", "user", "text", "at")
 #: Rows that wait before they are combined, and combined groups that a task holds at most.
-WAITING, HELD = 1 << 16, 1 << 17
+WAITING, HELD = 1 << 14, 1 << 15
+#: The same in bytes, whichever comes first: paths may be long.
+WAITING_BYTES, HELD_BYTES = 1 << 23, 1 << 24
 
 _FIRST = {"first_ts": "timestamp_ntz", "first_tz_offset": "int", "first_status": "int"}
 
@@ -62,7 +64,8 @@ class _Groups:
         self.first = [name for name in types if name in (*_FIRST, "first_description")]
         self.sums = [name for name in types if name == "n" or name.startswith("n_counter")]
         self.least = [name for name in types if name == "first_seq" or name.startswith("first_counter")]
-        self.waiting, self.rows = [], 0
+        # Combined groups come first in what waits; rows and bytes are those that came after them.
+        self.waiting, self.rows, self.bytes = [], 0, 0
 
     def table(self, rows: int, /, **given):
         """Rows of one kind; what is not given is null."""
@@ -74,29 +77,37 @@ class _Groups:
         if table.num_rows:
             self.waiting.append(table)
             self.rows += table.num_rows
-        if self.rows > WAITING:
+            self.bytes += table.nbytes
+        if self.rows > WAITING or self.bytes > WAITING_BYTES:
             self.combine()
-            if self.rows > HELD:
+            if self.waiting[0].num_rows > HELD or self.waiting[0].nbytes > HELD_BYTES:
                 yield from self.flush()
 
     def flush(self):
-        if self.waiting:
+        import pyarrow as pa
+
+        if self.rows:
             self.combine()
-            yield from self.waiting[0].to_batches()
-            self.waiting, self.rows = [], 0
+        if self.waiting:
+            yield from self.waiting.pop().to_batches()
+        # An idle worker keeps nothing that the task had.
+        pa.default_memory_pool().release_unused()
 
     def combine(self):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        rows = pa.concat_tables(self.waiting).sort_by("first_seq")
+        rows = pa.concat_tables(self.waiting)
+        self.waiting = []
+        rows = rows.sort_by("first_seq")
         as_is = pc.ScalarAggregateOptions(skip_nulls=False)
         wanted = [(c, "sum") for c in self.sums] + [(c, "min") for c in self.least] + [(c, "first", as_is) for c in self.first]
         found = rows.group_by(list(KEYS), use_threads=False).aggregate(wanted)
+        del rows
         back = {f"{c}_{how[0]}": c for c, *how in wanted}
         found = found.rename_columns([back.get(c, c) for c in found.column_names]).select(self.schema.names).cast(self.schema)
         found = found.filter(self._wanted(found))
-        self.waiting, self.rows = [found.combine_chunks()], found.num_rows
+        self.waiting, self.rows, self.bytes = [found.combine_chunks()], 0, 0
 
     def _wanted(self, found):
         """All groups but evidences beyond the first of their threat."""

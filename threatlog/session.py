@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -47,6 +49,12 @@ def staged(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty frame that the optimizer drops from a union; one made from an empty list starts Python workers for it."""
+    types = [(f.name, f.dataType) for f in StructType.fromDDL(schema)]
+    return spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(kind).alias(name) for name, kind in types])
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,7 +25,7 @@ from ..operators.groups import bounded, columns, merged, partial_groups
 from ..operators.parse import parse_logs
 from ..operators.windows import numbered_within
 from ..plans.analysis import Analysis
-from ..session import create_marker, folder_names
+from ..session import create_marker, folder_names, no_rows
 from .runs import merged_into, remove_old_runs, run_path, runs_of
 
 class LiveReport:
@@ -86,7 +86,7 @@ class LiveReport:
     def _read(self, runs) -> DataFrame:
         types = columns(len(self._plan.counters), self._plan.rules.free_text)
         schema = ", ".join(f"`{name}` {kind}" for name, kind in types.items())
-        found = self.spark.createDataFrame([], schema)
+        found = no_rows(self.spark, schema)
         for run in runs:
             found = found.unionByName(self.spark.read.schema(schema).parquet(self._path(run)).select(*types))
         return found
