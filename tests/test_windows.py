@@ -138,3 +138,20 @@ def test_plans_shuffle_counts_and_limits_not_raw_rows(log):
     merged = tl.merge_threats(tl.rule_hits(entries))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in merged and "row_number(), 6, Partial" in merged
     assert merged.count("Scan ExistingRDD") == 1
+
+
+def test_numbering_one_source_is_spread_over_tasks(spark):
+    """A source's lines are numbered, and what follows is done, by as many tasks as there are."""
+    lines = spark.range(400_000).select(F.lit("s").alias("source"), (F.col("id") * 2).alias("seq"), F.lit("text").alias("line"))
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in fixed}
+    try:
+        for name, value in fixed.items():
+            spark.conf.set(name, value)
+        numbered = tl.number_lines(lines).withColumn("task", F.spark_partition_id())
+        tasks = {r["task"]: r["n"] for r in numbered.groupBy("task").agg(F.count("*").alias("n")).collect()}
+        wrong = numbered.where(F.col("line_no") != F.expr("seq div 2 + 1")).count()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert wrong == 0 and sum(tasks.values()) == 400_000 and max(tasks.values()) < 300_000

@@ -204,7 +204,7 @@ def alert_rows(
     return steps.join(numbered_within(rows, moment, "nth"), [*moment, "nth"], "left")
 
 
-def numbered_within(df: DataFrame, keys, name: str, order: str = "seq", width: int = 1_000_000) -> DataFrame:
+def numbered_within(df: DataFrame, keys, name: str, order: str = "seq", width: int = 1 << 16) -> DataFrame:
     """Rows numbered from 1 within ``keys`` by a long ``order`` column.
 
     A group is numbered in slices of ``width`` order values, each moved on by the size of the
