@@ -345,3 +345,29 @@ def test_live_job_finds_a_layout_and_loses_no_line(spark, log, tmp_path):
     assert any(rule == "R008" for rule, _ in expected)
     found = spark.read.parquet(str(tmp_path / "out/alerts")).collect()
     assert sorted((r["rule_id"], r["line_no"]) for r in found) == expected
+
+
+def test_carried_steps_alert_once_and_count_each_window_once(spark, tmp_path, monkeypatch):
+    """Two rules of one counter, and one of another window, over four batches: the batch's steps, each once."""
+    from threatlog.operators import windows
+    from threatlog.streaming.job import _LiveJob
+
+    rule = lambda no, threshold, step, minutes: tl.ThresholdRule(
+        no, no, "HIGH", "request", threshold, step, "{n} of {ip}", "{n}", timedelta(minutes=minutes)
+    )
+    rules = (rule("X1", 6, 3, 5), rule("X2", 10, 5, 5), rule("X3", 8, 4, 2))
+    job = _LiveJob(START, str(tmp_path / "out"), str(tmp_path / "check"), None, rules, timedelta(minutes=10), None, None, {})
+    frame = lambda texts, first: spark.createDataFrame(
+        [(t, "s", n) for n, t in enumerate(texts, start=first)], "line string, source string, seq bigint"
+    )
+    texts = [line(10 * n + (n % 3), f"1.1.1.{n % 2}", 200, "/") for n in range(48)]
+    counted = []
+    sliding = windows.sliding_counts
+    monkeypatch.setattr(windows, "sliding_counts", lambda *given: counted.append(1) or sliding(*given))
+    for epoch in range(4):
+        job.run(frame(texts[epoch * 12 : epoch * 12 + 12], epoch * 12 + 1), epoch)
+    assert len(counted) == 4 * 2
+    entries = tl.parse_logs(frame(texts, 1), as_of=START)
+    expected = sorted((r["rule_id"], r["ip"], r["count"]) for r in tl.alert_steps(tl.ticks(entries), rules).collect())
+    found = spark.read.parquet(f"{job.out}/alerts").where("rule_id like 'X%'").collect()
+    assert sorted((r["rule_id"], r["ip"], r["count"]) for r in found) == expected and len(expected) > 8

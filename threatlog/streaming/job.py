@@ -6,7 +6,7 @@ which is written as tables next to the checkpoint, one folder per epoch:
 * ``ticks``: counts no older than one window and ``delay`` before the middle of the times known, those that lines
   came for within that span of real time, whatever their times, and those of lines without a readable time,
   which all count at ``as_of``;
-* ``peaks``: the peak of every address that has alerted;
+* ``peaks``: the highest step of every address that has alerted;
 * ``tail``: the last fourteen lines of every source, in runs (:mod:`threatlog.streaming.runs`): an epoch writes those
   of the sources that sent lines, and reads those of the same sources.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 from time import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,8 @@ from ..operators.enrich import alert_text, notable
 from ..operators.parse import DROPPED, parse_logs
 from ..functions.times import wall_micros
 from ..operators.rules import counter_flags, default_rules, rule_hits
-from ..operators.windows import alert_rows, alert_steps, default_thresholds, numbered_within, peaks, ticks
-from ..session import create_marker, folder_names, remove_folder, staged
+from ..operators.windows import alert_rows, alert_steps, default_thresholds, numbered_within, ticks
+from ..session import create_marker, folder_names, no_rows, remove_folder, staged
 from .layouts import PrefixLayout
 from .runs import merged_into, remove_old_runs, run_path, runs_of
 
@@ -100,13 +101,13 @@ def _committed(spark: SparkSession, out: str, name: str) -> list[str]:
 def committed_alerts(spark: SparkSession, out: str) -> DataFrame:
     """The alerts of all epochs whose every output is written; one that broke off between two sinks shows in none."""
     folders = _committed(spark, out, "alerts")
-    return spark.read.schema(_ALERTS).parquet(*folders) if folders else spark.createDataFrame([], _ALERTS)
+    return spark.read.schema(_ALERTS).parquet(*folders) if folders else no_rows(spark, _ALERTS)
 
 
 def committed_lines(spark: SparkSession, out: str, name: str = "alert_log") -> DataFrame:
     """The lines of ``alert_log`` or ``context`` of the same epochs: ``line``."""
     folders = _committed(spark, out, name)
-    return spark.read.text(folders).toDF("line") if folders else spark.createDataFrame([], "line string")
+    return spark.read.text(folders).toDF("line") if folders else no_rows(spark, "line string")
 
 
 class _LiveJob:
@@ -142,13 +143,12 @@ class _LiveJob:
 
         row_alerts = rule_hits(entries, rules).withColumn("count", F.lit(1).cast("bigint"))
         burst_alerts = self._bursts(spark, entries, epoch)
-        alerts = self._staged(
+        alerts = staged(
             row_alerts.withColumnRenamed("seq", "line_no").select(*ALERT_COLUMNS)
             .unionByName(burst_alerts.select(*ALERT_COLUMNS)),
-            "alerts",
+            path=f"{self.out}/alerts/epoch={epoch}",
         )
 
-        alerts.write.mode("overwrite").parquet(f"{self.out}/alerts/epoch={epoch}")
         ordered = alerts.orderBy("source", "line_no", "rule_id")
         ordered.select(alert_text().alias("line")).write.mode("overwrite").text(f"{self.out}/alert_log/epoch={epoch}")
         self._context(numbered, tail, alerts, epoch)
@@ -166,7 +166,7 @@ class _LiveJob:
         return self._staged(_latest(known), "tail")
 
     def _tail_runs(self, spark, runs):
-        found = spark.createDataFrame([], _TAIL)
+        found = no_rows(spark, _TAIL)
         for run in runs:
             found = found.unionByName(spark.read.schema(_TAIL).parquet(run_path(f"{self.state}/tail", run)))
         return found
@@ -194,15 +194,14 @@ class _LiveJob:
             "recent",
         )
         windows = list(dict.fromkeys(r.window for r in self.thresholds))
-        found = None
+        found = []
         for window in windows:
             seconds = F.lit(int(window.total_seconds()))
             rules = [r for r in self.thresholds if r.window == window]
-            steps = alert_steps(recent, rules).withColumn("window", seconds.cast("bigint"))
-            top = peaks(recent, window).select("counter", "ip", seconds.cast("bigint").alias("window"), "peak")
-            pair = (steps, top)
-            found = pair if found is None else tuple(a.unionByName(b) for a, b in zip(found, pair))
-        steps, top = found
+            found.append(alert_steps(recent, rules).withColumn("window", seconds.cast("bigint")))
+        steps = self._staged(reduce(DataFrame.unionByName, found), "steps")
+        # The highest step that a peak reaches tells as much as the peak: no step lies between them.
+        top = steps.groupBy("counter", "ip", "window").agg(F.max("count").alias("peak"))
         # Steps up to the peak so far have alerted before.
         new = steps.join(known, ["counter", "ip", "window"], "left").where(
             F.col("count") > F.coalesce("peak", F.lit(0))
@@ -215,12 +214,7 @@ class _LiveJob:
             .drop("_earlier", "peak")
         )
 
-        least = {r.counter: min(x.threshold for x in self.thresholds if x.counter == r.counter) for r in self.thresholds}
-        lowest = F.create_map(*[F.lit(v) for pair in least.items() for v in pair])
-        merged = (
-            known.unionByName(top).groupBy("counter", "ip", "window").agg(F.max("peak").alias("peak"))
-            .where(F.col("peak") >= F.element_at(lowest, F.col("counter")))
-        )
+        merged = known.unionByName(top).groupBy("counter", "ip", "window").agg(F.max("peak").alias("peak"))
         self._carry(merged, "peaks", epoch)
         stand_in = F.col("ts") == F.lit(self.as_of).cast("timestamp_ntz")
         read = recent.where(~stand_in).agg(F.percentile(wall_micros(F.col("ts")), 0.5, F.col("n")))
@@ -263,7 +257,7 @@ class _LiveJob:
 
     def _carried(self, spark, name, epoch, schema):
         if epoch == 0:
-            return spark.createDataFrame([], schema)
+            return no_rows(spark, schema)
         return spark.read.schema(schema).parquet(f"{self.state}/{name}/epoch={epoch - 1}")
 
     def _carry(self, df, name, epoch):
