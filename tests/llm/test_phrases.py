@@ -77,6 +77,38 @@ def test_many_ranges_of_hashes(spark, monkeypatch):
     assert found == {k: a for k, a in _counts(rows)[0].items() if a >= 4}
 
 
+def test_rows_of_summaries_are_short(spark):
+    rows = [(" ".join(f"w{i}x{k}" for k in range(20_000)), "en") for i in range(6)]
+    docs = _table(spark, rows).selectExpr("lang", "text").coalesce(1)
+    summaries = phrases._summaries(docs).selectExpr("length(summary) as n", "mass").collect()
+    assert max(r["n"] for r in summaries) < 1 << 16
+    assert sum(r["mass"] for r in summaries) == 6 * (20_000 + 19_999)
+
+
+def test_short_rows_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "ROW", 7)
+    rows = list(_rows(100, 9))
+    for mass in (300, 1 << 21):
+        monkeypatch.setattr(phrases, "MASS", mass)
+        found = {(r["lang"], tuple(r["phrase"].split(" "))): r["f"] for r in frequent_ngrams(_table(spark, rows), 4).where("size > 0").collect()}
+        assert found == {k: a for k, a in _counts(rows)[0].items() if a >= 4}
+
+
+@pytest.mark.parametrize("set_to", ["4096", "100"])
+def test_settings_are_as_before_and_marks_are_given_back(spark, monkeypatch, set_to):
+    key, made = "spark.sql.parquet.columnarReaderBatchSize", []
+    before, broadcast = spark.conf.get(key), type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(broadcast(self, value)) or made[-1])
+    spark.conf.set(key, set_to)
+    try:
+        found = frequent_ngrams(_table(spark, list(_rows(20, 3))), 3)
+        assert spark.conf.get(key) == set_to
+    finally:
+        spark.conf.set(key, before)
+    assert found.count() and len(made) == 2
+    assert not any(m._jbroadcast.isValid() for m in made if m._jbroadcast is not None)
+
+
 def test_a_full_table_of_marks_changes_nothing(spark):
     rows = list(_rows(60, 4))
     full = spark.sparkContext.broadcast(b"\xff" * (1 << (phrases.MARK_BITS - 3)))

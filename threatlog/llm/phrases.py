@@ -14,14 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import remove_folder, scratch_folder, staged
+from ..session import at_most, remove_folder, scratch_folder, staged
 from .texts import bounded_batches, slices
 
 LONGEST, THRESHOLD, BEST = 4, 30, 2000
 #: Occurrences of n-grams of a range of hashes, on average; it bounds what one merging task holds.
 MASS = 1 << 21
-#: Occurrences that a task gathers before it adds them to its summary, counters of a summary, and of a row of it.
-GATHERED, COUNTERS, ROW = 1 << 20, 1 << 20, 1 << 16
+#: Occurrences that a task gathers before it adds them to its summary, counters of a summary, and of a batch of its rows.
+GATHERED, COUNTERS, WRITTEN = 1 << 20, 1 << 20, 1 << 16
+#: Counters of a row of a summary, at most 36 KB, and rows that are read at once.  The JVM holds a hundred rows of a file's page
+#: a few times, and objects of half a megabyte take whole regions of its heap.
+ROW, READ = 1 << 12, 256
 #: Bits of a hash in a summary.  Two n-grams with one hash only make survivors that the second pass drops.
 HASH_BITS = 48
 #: The table of marks has 2**27 bits (16 MB), whatever the input; each survivor sets two.
@@ -157,15 +160,16 @@ def survivors(parts, threshold: int):
     import numpy as np
 
     capacity = sum(int(counts.sum()) for _, counts in parts) // threshold + 1
-    hashes, counts, lowered, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, []
+    hashes, counts, lowered, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
     for at, part in enumerate(parts):
         waiting.append(part)
+        size += len(part[0])
         # Several small summaries are merged at once.
-        if at + 1 < len(parts) and sum(len(h) for h, _ in waiting) < 2 * capacity:
+        if at + 1 < len(parts) and size < 2 * capacity:
             continue
         hashes, counts = combined(np.concatenate([hashes, *[h for h, _ in waiting]]), np.concatenate([counts, *[c for _, c in waiting]]))
         hashes, counts, down = shrunk(hashes, counts, capacity)
-        lowered, waiting = lowered + down, []
+        lowered, waiting, size = lowered + down, [], 0
     return hashes[counts + lowered >= threshold]
 
 
@@ -190,10 +194,11 @@ def _summaries(docs: DataFrame, marks=None) -> DataFrame:
         hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def rows():
-            for at in range(0, len(hashes), ROW):
-                h, c = hashes[at : at + ROW], counts[at : at + ROW]
-                columns = [pa.array([packed(h, c)], pa.binary()), pa.array([int(c.sum())], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["summary", "mass"])
+            for at in range(0, len(hashes), WRITTEN):
+                ends = range(at, min(at + WRITTEN, len(hashes)), ROW)
+                summaries = [packed(hashes[a : a + ROW], counts[a : a + ROW]) for a in ends]
+                masses = [int(counts[a : a + ROW].sum()) for a in ends]
+                yield pa.RecordBatch.from_arrays([pa.array(summaries, pa.binary()), pa.array(masses, pa.int64())], ["summary", "mass"])
 
         def added():
             new, n = np.unique(np.concatenate(gathered), return_counts=True)
@@ -243,13 +248,17 @@ def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
         import pyarrow as pa
 
         bounds = np.frombuffer(starts, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
+            numbers, summaries = [], []
             for summary in batch.column(0):
                 h, c = unpacked(summary.as_py())
-                ends = [0, *np.searchsorted(h, bounds).tolist(), len(h)]
-                some = [(r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-                columns = [pa.array([r for r, _, _ in some], pa.int64()), pa.array([packed(h[a:b], c[a:b]) for _, a, b in some], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["range", "summary"])
+                # The ranges of its first and last hash, and the places where those between begin.
+                first, last = np.searchsorted(bounds, h[[0, -1]], side="right").tolist()
+                ends = [0, *np.searchsorted(h, bounds[first:last]).tolist(), len(h)]
+                some = [(r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:]), first) if b > a]
+                numbers += [r for r, _, _ in some]
+                summaries += [packed(h[a:b], c[a:b]) for _, a, b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(summaries, pa.binary())], ["range", "summary"])
 
     def merge(table):
         import numpy as np
@@ -264,7 +273,8 @@ def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
 
     cuts = parts.select("summary").mapInArrow(cut, "range bigint, summary binary")
     merged = cuts.groupBy("range").applyInArrow(merge, "word bigint, bits bigint")
-    found = merged.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**(MARK_BITS - 6) rows
+    with at_most(spark, "spark.sql.parquet.columnarReaderBatchSize", READ):
+        found = merged.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**(MARK_BITS - 6) rows
     remove_folder(spark, path)
     table = np.zeros(1 << (MARK_BITS - 6), np.int64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
@@ -332,7 +342,10 @@ def frequent_ngrams(docs: DataFrame, threshold=THRESHOLD, text_col="text", lang_
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     of_pairs = spark.sparkContext.broadcast(_marks(rows, threshold))
     of_longer = spark.sparkContext.broadcast(_marks(rows, threshold, of_pairs))
-    return staged(_counted(rows, threshold, of_pairs, of_longer))
+    counts = staged(_counted(rows, threshold, of_pairs, of_longer))
+    for marks in (of_pairs, of_longer):
+        marks.destroy()
+    return counts
 
 
 def _scored(counts: DataFrame) -> DataFrame:

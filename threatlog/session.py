@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def at_most(spark: SparkSession, setting: str, value: int):
+    """While this lasts, the session's whole number ``setting`` is at most ``value``; a lower one stays."""
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), value)))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which all executors share.
 
