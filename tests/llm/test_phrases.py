@@ -3,12 +3,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from threatlog.llm import phrases
 from threatlog.llm.phrases import _counted, collocations, combined, frequent_ngrams, numbered_words, packed, shrunk, survivors, unpacked
+from threatlog.session import staged
 
 SCHEMA = "doc_id bigint, text string, lang string, size int, phrase string, f bigint, hashes string"
 
@@ -85,6 +87,15 @@ def test_rows_of_summaries_are_short(spark):
     assert sum(r["mass"] for r in summaries) == 6 * (20_000 + 19_999)
 
 
+def test_a_task_writes_its_summaries_in_blocks(spark, tmp_path):
+    make = random.Random(1)
+    rows = spark.createDataFrame([(bytearray(make.randbytes(20_000)), 1) for _ in range(600)], "summary binary, mass bigint").coalesce(1)
+    assert staged(rows, path=str(tmp_path / "s"), block_bytes=2 << 20).count() == 600
+    (file,) = (tmp_path / "s").glob("*.parquet")
+    found = pq.ParquetFile(file).metadata
+    assert max(found.row_group(i).total_byte_size for i in range(found.num_row_groups)) < 5 << 20
+
+
 def test_short_rows_are_cut_into_ranges(spark, monkeypatch):
     monkeypatch.setattr(phrases, "ROW", 7)
     rows = list(_rows(100, 9))

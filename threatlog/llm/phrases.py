@@ -25,6 +25,8 @@ GATHERED, COUNTERS, WRITTEN = 1 << 20, 1 << 20, 1 << 16
 #: Counters of a row of a summary, at most 36 KB, and rows that are read at once.  The JVM holds a hundred rows of a file's page
 #: a few times, and objects of half a megabyte take whole regions of its heap.
 ROW, READ = 1 << 12, 256
+#: Bytes of summaries that a task gathers before it writes them.
+BLOCK_BYTES = 8 << 20
 #: Bits of a hash in a summary.  Two n-grams with one hash only make survivors that the second pass drops.
 HASH_BITS = 48
 #: The table of marks has 2**27 bits (16 MB), whatever the input; each survivor sets two.
@@ -237,7 +239,7 @@ def _marks(docs: DataFrame, threshold: int, marks=None) -> bytes:
     import numpy as np
 
     spark, path = docs.sparkSession, scratch_folder(docs.sparkSession)
-    parts = staged(_summaries(docs, marks), path=path)
+    parts = staged(_summaries(docs, marks), path=path, block_bytes=BLOCK_BYTES)
     mass = parts.agg(F.sum("mass")).first()[0] or 0
     ranges = -(-mass // MASS) or 1
     # The first hash of each range; ranges are equally wide, so hashes fill them evenly.

@@ -50,14 +50,16 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/threatlog-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, *partition_by: str, path: str | None = None, block_bytes: int | None = None) -> DataFrame:
     """The frame written once as a table in the scratch folder, and read from there.
 
     For results that several later steps read: they are not computed again, and losing an
-    executor loses nothing.  With ``path`` the table there is replaced.
+    executor loses nothing.  With ``path`` the table there is replaced; ``block_bytes`` bounds what a
+    task gathers of its file before it writes it.
     """
     path = path or scratch_folder(df.sparkSession)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    options = {} if block_bytes is None else {"parquet.block.size": block_bytes}
+    df.write.options(**options).mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
